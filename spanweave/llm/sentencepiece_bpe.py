@@ -3,8 +3,9 @@
 A BPE encoding is the only token sequence in which every token encodes to itself and every neighbouring pair encodes to that
 pair.  So each prefix of a text has one last token: the candidate that an automaton finds ending there and that is compatible
 with the last token of the prefix before it.  The table of last tokens is filled from left to right; ids are read off from the
-right.  No merge crosses from a non-blank into a blank (checked against the vocabulary when it is loaded), so the table is
-filled for each blank-led chunk on its own and frequent chunks are remembered in a bounded memory.
+right.  No piece reaches from a letter into another character or from any character into a following blank (checked against
+the vocabulary when it is loaded), so the table is filled for each such chunk on its own; frequent words and chunks are
+remembered in a bounded memory.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from spanweave.llm.common import table
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # piece types of the model file
 BPE = 2  # its model type
+LETTERS = "A-Za-zÀ-ɏ"
+START, WIDE = -1, 1 << 20  # no token yet; above any id
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -59,7 +62,7 @@ class PieceModel:
     """Vocabulary and exact encoder/decoder of one merge-type model.
 
     Supported: BPE models with byte fallback, the identity normalizer and no user-defined pieces; others raise ValueError.
-    ``memory`` bounds the remembered chunks (two generations of half that size).
+    ``memory`` bounds the remembered words and chunks (two generations of each).
     """
 
     def __init__(self, blob: bytes, memory: int = 400_000):
@@ -78,27 +81,56 @@ class PieceModel:
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, UNUSED)}
         self.score = {p: s for p, s, t in pieces if t in (NORMAL, UNUSED)}
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
+        self.controls = [i for i, (_, _, t) in enumerate(pieces) if t == CONTROL]
         self.kind = [t for _, _, t in pieces]
         unk = spec.get(44, " ⁇ ".encode())
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else unk if t == UNKNOWN else p.replace(BLANK, " ").encode() for p, _, t in pieces]
         self.digits = [str(i) for i in range(len(pieces))]
-        joined = {c for p in self.id if len(p) > 1 for c in p}
-        free = "".join(c for c in "\n\r\t" if c not in joined)  # such a character never merges, so a chunk can end at it
-        split = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.id)
-        self.chunks = re.compile(f"{BLANK}*[^{BLANK}{free}]+|{BLANK}+" + (f"|[{free}]" if free else "") if split else r"(?s).+").findall
-        self._automaton = self._build()
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._young: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
-        self._half = max(1, memory // 2)
-
-    def _build(self):
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for p in self.id:
-            found.add_word(p, p)
-        found.make_automaton()
+        # a chunk may end wherever no piece reaches across: finest cut first that leaves every piece whole
+        cuts = (f"{BLANK}*[{LETTERS}]+|{BLANK}*[^{BLANK}{LETTERS}]+|{BLANK}+", f"{BLANK}*[^{BLANK}]+|{BLANK}+", r"(?s).+")
+        self.chunks = next(f for f in (re.compile(c).findall for c in cuts) if all(len(f(p)) == 1 for p in self.id))
+        self.by_word = self.prefix == BLANK and cuts[2] != self.chunks.__self__.pattern
+        self.names = [p for p, _, _ in pieces]
+        self._grow_automaton()
+        self._pairs: dict[int, bool] = {}
+        self._half = max(1, memory // 4)
+        self._words: list[dict[str, tuple[int, ...]]] = [{}, {}]
+        self._parts: list[dict[str, tuple[int, ...]]] = [{}, {}]
+
+    def _grow_automaton(self) -> None:
+        """Trie of the pieces with failure links; ``_ends[state]`` has (id, length) of the pieces that end there, longest first."""
+        self._goto: dict[int, int] = {}
+        self._fail, self._ends = [0], [()]
+        below: list[list[tuple[str, int]]] = [[]]
+        for p, i in self.id.items():
+            state = 0
+            for c in p:
+                key = state << 21 | ord(c)
+                if key not in self._goto:
+                    self._goto[key] = len(self._ends)
+                    below[state].append((c, len(self._ends)))
+                    below.append([])
+                    self._fail.append(0)
+                    self._ends.append(())
+                state = self._goto[key]
+            self._ends[state] = ((i, len(p)),)
+        queue = [0]
+        for state in queue:
+            for c, child in below[state]:
+                if state:
+                    self._fail[child] = self._step(self._fail[state], c)
+                self._ends[child] += self._ends[self._fail[child]]
+                queue.append(child)
+        self._states = len(self._ends)
+
+    def _step(self, state: int, c: str) -> int:
+        """Next state; found ones are remembered."""
+        key, at = state << 21 | ord(c), state
+        while (found := self._goto.get(at << 21 | ord(c))) is None and at:
+            at = self._fail[at]
+        found = found or 0
+        if len(self._goto) < 1_000_000:
+            self._goto[key] = found
         return found
 
     def _merged(self, text: str) -> list[str]:
@@ -114,62 +146,80 @@ class PieceModel:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the two tokens, side by side, encode to themselves; an empty ``left`` tests ``right`` alone."""
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= 1_000_000:
-                self._pairs.clear()
-            known = self._pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def last_tokens(self, chunk: str) -> list[str]:
-        """For each prefix (by length, from 0) the last token of its encoding."""
-        ends: list[list[str]] = [[] for _ in range(len(chunk) + 1)]
-        for end, piece in self._automaton.iter(chunk):
-            ends[end + 1].append(piece)
-        last, pairs, test = [""] * (len(chunk) + 1), self._pairs, self.compatible
-        for i in range(1, len(chunk) + 1):
-            for t in ends[i]:
-                before = last[i - len(t)]
-                known = pairs.get((before, t))
-                if known or known is None and test(before, t):
-                    last[i] = t
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side encode to themselves; ``left``: an id, ``START`` (right stands alone) or a character outside the vocabulary."""
+        name, own = "" if left == START else self.names[left] if left >= 0 else chr(-2 - left), self.names[right]
+        fit = self._merged(name + own) == ([name, own] if name else [own])
+        if len(self._pairs) >= 600_000:
+            self._pairs.clear()
+        self._pairs[left * WIDE + right] = fit
+        return fit
+
+    def last_tokens(self, chunk: str) -> tuple[list[int], list[int]]:
+        """For each prefix, by length from 0, the last token of its encoding and that token's length."""
+        n = len(chunk)
+        last, size, state = [START] * (n + 1), [0] * (n + 1), 0
+        goto, ends, known = self._goto.get, self._ends, self._pairs.get
+        for i, c in enumerate(chunk, 1):
+            after = goto(state << 21 | ord(c))
+            state = self._step(state, c) if after is None else after
+            for t, length in ends[state]:
+                before = last[i - length]
+                fit = known(before * WIDE + t)
+                if fit or fit is None and self.compatible(before, t):
+                    last[i], size[i] = t, length
                     break
             else:
-                last[i] = chunk[i - 1]  # a character outside the vocabulary stands alone
-        return last
+                last[i], size[i] = -2 - ord(c), 1  # a character outside the vocabulary stands alone
+        return last, size
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of one chunk, recovered from the end of its table."""
-        last, i, out = self.last_tokens(chunk), len(chunk), []
+        last, size = self.last_tokens(chunk)
+        i, out = len(chunk), []
         while i:
             t = last[i]
-            known = self.id.get(t)
-            if known is None:
-                out.extend(self.byte_id[b] for b in reversed(t.encode()))
+            if t >= 0:
+                out.append(t)
             else:
-                out.append(known)
-            i -= len(t)
-        return tuple(reversed(out))
+                out.extend(self.byte_id[b] for b in reversed(chr(-2 - t).encode()))
+            i -= size[i]
+        out.reverse()
+        return tuple(out)
+
+    def _kept(self, memory: list[dict], key: str, make) -> tuple[int, ...]:
+        """From the older generation or made anew; a full young generation becomes the older one."""
+        ids = memory[1].get(key)
+        if ids is None:
+            ids = make(key)
+        if len(key) <= 64:
+            if len(memory[0]) >= self._half:
+                memory[1], memory[0] = memory[0], {}
+            memory[0][key] = ids
+        return ids
+
+    def _encode_text(self, text: str) -> tuple[int, ...]:
+        """Ids of a normalized text, chunk by chunk."""
+        out, memory = [], self._parts
+        for chunk in self.chunks(text):
+            ids = memory[0].get(chunk)
+            out.append(self._kept(memory, chunk, self.encode_chunk) if ids is None else ids)
+        return tuple(chain.from_iterable(out))
+
+    def _encode_word(self, word: str) -> tuple[int, ...]:
+        return self._encode_text(BLANK + word)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without begin or end ids; none for null or empty."""
         if not text:
             return []
-        young, old, parts = self._young, self._old, []
-        for chunk in self.chunks((self.prefix + text).replace(" ", BLANK)):
-            ids = young.get(chunk)
-            if ids is None:
-                ids = old.get(chunk) or self.encode_chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(young) >= self._half:
-                        self._old = old = young
-                        self._young = young = {}
-                    young[chunk] = ids
-            parts.append(ids)
-        return list(chain.from_iterable(parts))
+        if not self.by_word or "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
+            return list(self._encode_text((self.prefix + text).replace(" ", BLANK)))
+        out, memory = [], self._words  # single blanks between words: each word is led by its own blank
+        for word in text.split(" "):
+            ids = memory[0].get(word)
+            out.append(self._kept(memory, word, self._encode_word) if ids is None else ids)
+        return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: control ids vanish, byte ids join to UTF-8 (each byte that does not becomes U+FFFD), one leading blank of a first ordinary piece is dropped."""
@@ -178,10 +228,19 @@ class PieceModel:
         raw = b"".join(map(self.raw.__getitem__, ids))
         first = next((i for i in ids if self.kind[i] != CONTROL), None)
         cut = 1 if first is not None and self.prefix and self.kind[first] not in (BYTE, UNKNOWN) and self.raw[first][:1] == b" " else 0
-        try:
-            return raw[cut:].decode()
-        except UnicodeDecodeError:
-            return _repaired(raw[cut:])
+        if not any(c in ids for c in self.controls):
+            try:
+                return raw[cut:].decode()
+            except UnicodeDecodeError:
+                pass
+        out, run = [], []  # bytes join only within a run that no other id, not even a control id, breaks
+        for i in ids:
+            if self.kind[i] == BYTE:
+                run.append(self.raw[i])
+            else:
+                out += [_repaired(b"".join(run)), self.raw[i].decode()]
+                run = []
+        return "".join([*out, _repaired(b"".join(run))])[cut:]
 
 
 def _repaired(raw: bytes) -> str:
