@@ -1,8 +1,8 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from spanweave.llm import sentencepiece_bpe
+from spanweave.llm import minhash, mixing, sentencepiece_bpe, toxicity
 
-MODULES = [sentencepiece_bpe]
+MODULES = [sentencepiece_bpe, toxicity, mixing, minhash]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
