@@ -1,8 +1,8 @@
 """Queries of the corpus operators and their SQL, by name."""
 
-from spanweave.llm import fingerprints, line_dedup, minhash, mixing, sentencepiece_bpe, toxicity
+from spanweave.llm import fingerprints, hmm, line_dedup, minhash, mixing, sentencepiece_bpe, toxicity
 
-MODULES = [sentencepiece_bpe, toxicity, mixing, line_dedup, fingerprints, minhash]
+MODULES = [sentencepiece_bpe, toxicity, mixing, line_dedup, fingerprints, hmm, minhash]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
