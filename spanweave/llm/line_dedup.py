@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import materialize, table
+from spanweave.llm.keyfilter import key_filter
 from spanweave.llm.shingles import mix
 
 MIN_WORDS = 8
-MAX_FILTER_BITS = 1 << 27  # 16 MB, whatever the input
-SLICES = 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,36 +85,10 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc long, no int, key binary, halves array<long>")
 
 
-def _bits(keys: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """Filter of the keys: a bit at each of two places of a key; built by slices on the executors, at most ``MAX_FILTER_BITS``."""
-    size = 1 << 16
-    while size < min(16 * count, MAX_FILTER_BITS):
-        size *= 2
-    each = size // SLICES
-    places = keys.select(F.explode(F.array(F.pmod("half", F.lit(size)), F.pmod(F.shiftrightunsigned("half", 32), F.lit(size)))).alias("place"))
-    places = places.select(F.floor(F.col("place") / each).cast("int").alias("slice"), (F.col("place") % each).cast("int").alias("place"))
-
-    def build(rows: pa.Table) -> pa.Table:
-        own = np.zeros(each, np.uint8)
-        own[rows["place"].to_numpy()] = 1
-        return pa.table({"slice": rows["slice"].slice(0, 1), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    out = np.zeros(size // 8, np.uint8)
-    for r in places.distinct().groupBy("slice").applyInArrow(build, "slice int, bits binary").toLocalIterator():
-        out[r["slice"] * each // 8 : (r["slice"] + 1) * each // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out, size
-
-
-def _passed(df: DataFrame, shipped, size: int) -> DataFrame:
+def _passed(df: DataFrame, shipped) -> DataFrame:
     """Lines with a half in the filter: key, place and word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shipped.value, np.uint8)
-
-        def has(k: np.ndarray) -> np.ndarray:
-            at = k & np.uint64(size - 1)
-            return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
-
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -128,8 +101,7 @@ def _passed(df: DataFrame, shipped, size: int) -> DataFrame:
                             keys.append(half_keys(words))
                 doc, no, key, hashes = [], [], [], []
                 if where:
-                    k = np.array(keys, np.uint64)
-                    for j in np.flatnonzero((has(k) & has(k >> np.uint64(32))).any(1)):
+                    for j in np.flatnonzero(shipped.value.has(np.array(keys, np.uint64)).any(1)):
                         i, n, words = where[j]
                         doc.append(i)
                         no.append(n)
@@ -173,9 +145,8 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = materialize(_lines(src), "lines")
     shared = lines.select(F.explode("halves").alias("half"), "key").groupBy("half").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("half")
     shared = materialize(shared, "halves")
-    bits, size = _bits(shared, shared.count())
-    shipped = df.sparkSession.sparkContext.broadcast(bits.tobytes())
-    passed = _passed(src, shipped, size).groupBy("key").agg(F.min(F.struct("doc", "no", "hashes")).alias("f")).select("key", "f.*")
+    shipped = df.sparkSession.sparkContext.broadcast(key_filter(shared))
+    passed = _passed(src, shipped).groupBy("key").agg(F.min(F.struct("doc", "no", "hashes")).alias("f")).select("key", "f.*")
     passed = materialize(passed, "passed")
     var = materialize(_variants(passed).withColumn("at", F.struct("doc", "no")).select("variant", "place", "at"), "variants")
     # same variant, same place: replacement; the group's earliest line is every other one's partner
