@@ -198,6 +198,35 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     return src.join(gone, "doc", "left").select("doc", "text", "nos").mapInArrow(run, schema).withColumnRenamed("doc", id_col).withColumnRenamed("text", text_col)
 
 
+def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``df`` with repeated lines cut from their texts and ``chars_col``, where there is one, set anew.
+
+    A row all of whose lines with words were cut goes; one that had none before stays as it was, and so does a null text.
+    """
+    gone = removed_lines(df, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("nos").alias("__nos"))
+    schema, text, chars = df.schema, df.columns.index(text_col), df.columns.index(chars_col) if chars_col in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                nos = part.column(part.num_columns - 1)
+                texts, stays = part.column(text).to_pylist(), np.ones(part.num_rows, bool)
+                for i in np.flatnonzero(nos.is_valid().to_numpy(zero_copy_only=False)):
+                    drop = set(nos[int(i)].as_py())
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop)
+                    stays[i] = bool(texts[i].encode().split())
+                cols = [part.column(k) for k in range(len(schema))]
+                cols[text] = pa.array(texts, pa.string())
+                if chars is not None:
+                    old = cols[chars].to_pylist()
+                    cols[chars] = pa.array([o if t is None else len(t) for o, t in zip(old, texts, strict=True)], cols[chars].type)
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(stays))
+
+    both = df.join(gone, F.col(id_col) == F.col("__doc"), "left").select(*[df[c] for c in df.columns], "__nos")
+    return both.mapInArrow(run, schema)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with repeated lines cut: counts and digest of what stays."""
     return dedup_lines(table(spark, sf_dir, "documents"), digest=True).select("doc_id", "n_lines", "n_removed", "kept_sha256")

@@ -197,6 +197,12 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, but for documents that a smaller id of their component stands for.  Null ids stay."""
+    found = near_duplicates(df, percent, id_col, text_col)
+    return df.join(found.where("not kept").select(F.col(id_col)).distinct(), id_col, "left_anti").select(*df.columns)
+
+
 def _to_hubs(rows: DataFrame) -> DataFrame:
     """Pairs of each row's id with its bucket's hubs."""
     return rows.select("id", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))

@@ -145,6 +145,18 @@ def mix(df: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long").alias("copies"))
 
 
+def mixed(df: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: rows of ``df``, all columns as they are, each as often as the mix takes it.
+
+    The copies of rows with one id are dealt out over these rows in the order of their texts' hashes.
+    """
+    copies = mix(df, seed, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    both = df.join(copies, df[id_col].eqNullSafe(F.col("__id")))
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col, source_col)))
+    times = F.floor(F.col("__copies") / F.col("__rows")) + (place <= F.col("__copies") % F.col("__rows")).cast("int")
+    return both.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*df.columns)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     m = mix(table(spark, sf_dir, "documents"))

@@ -251,6 +251,22 @@ def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
     return df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__id", id_col)
 
 
+def without_toxic(df: DataFrame, model: ToxicModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text scores below the threshold; null texts count as empty."""
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                clean = [m.score(p) < threshold for p in m.marginals([t or "" for t in part.column(place).to_pylist()])]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
