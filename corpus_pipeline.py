@@ -1,3 +1,59 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, sources are mixed to
+their target weights, and what is left is encoded.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
+All but the last return the columns of ``documents``.  Null texts and ids, empty texts, repeated rows and empty tables are
+handled as the operators' docstrings state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanweave.llm.common import materialize, table
+from spanweave.llm.line_dedup import without_repeated_lines
+from spanweave.llm.minhash import without_near_duplicates
+from spanweave.llm.mixing import mixed
+from spanweave.llm.sentencepiece_bpe import model_path, transcode
+from spanweave.llm.toxicity import train, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on these documents' labels, doesn't reject."""
+    return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier; a document with nothing left goes."""
+    return without_repeated_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at a similarity of 0.8 or more."""
+    return without_near_duplicates(docs, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of the text they decode to."""
+    return transcode(docs, model_path(), outputs=("n_tokens", "ids", "decoded_sha256"))
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+
+#: Model scores, drawn samples and merges can't be stated in SQL; tests/llm holds every stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{name}")
+    return docs
