@@ -143,14 +143,23 @@ def fit(rows: list[tuple[str, int]], prior: tuple[float, float]) -> ToxicModel:
     m, rng = ToxicModel(), np.random.Generator(np.random.PCG64(7))
     m.offset = math.log((prior[1] + 0.5) / (prior[0] + 0.5))
     rows = list(dict.fromkeys(rows))  # exact copies would make any of their words look toxic
-    docs = [(TOKEN.findall(t.lower()), y) for t, y in rows]
-    total, df = Counter(y for _, y in docs), (Counter(), Counter())
+    total, one = Counter(y for _, y in rows), {}  # one: a single object for equal words
     if not total[0] or not total[1]:
         return m
+    docs = [([one.setdefault(w, w) for w in TOKEN.findall(t.lower())], y) for t, y in rows]
+    del one
+    # document frequencies: of toxic documents' features, then only of those that are frequent enough in clean ones
+    df = (Counter(), Counter())
     for words, y in docs:
-        df[y].update({f for w in set(words) for f in features(w)})
+        if y:
+            df[1].update({f for w in set(words) for f in features(w)})
     least = max(3, 0.004 * total[1])
-    odds = {f: v for f, n in df[1].items() if n >= least and (v := math.log((n + 0.5) / (total[1] + 1)) - math.log((df[0][f] + 0.5) / (total[0] + 1))) > 1.5}
+    for f in [f for f, n in df[1].items() if n < least]:
+        del df[1][f]
+    for words, y in docs:
+        if not y:
+            df[0].update({f for w in set(words) for f in features(w) if f in df[1]})
+    odds = {f: v for f, n in df[1].items() if (v := math.log((n + 0.5) / (total[1] + 1)) - math.log((df[0][f] + 0.5) / (total[0] + 1))) > 1.5}
     kept = sorted(odds, key=lambda f: (-odds[f] * math.sqrt(df[1][f]), f))[:LEXICON]
     index = {f: i for i, f in enumerate(kept)}
     strong = {f for f in kept if odds[f] > 2.5}
@@ -164,6 +173,7 @@ def fit(rows: list[tuple[str, int]], prior: tuple[float, float]) -> ToxicModel:
     if not hot:
         return m
     cold = [cold[i] for i in sorted(rng.permutation(len(cold))[:CLEAN_WINDOWS])]
+    del docs
     chains = hot + cold
     n, size = len(chains), np.array([len(c[0]) for c in chains])
     y = np.zeros((WINDOW, n), np.int8)
@@ -223,8 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ids = spark.createDataFrame(picked, own.schema)  # at most 2 * SAMPLE rows
     found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", F.coalesce("t", F.lit("")).alias("t"), "y")
-    rows = sorted((r.i, r.t, r.y) for r in found.collect())
-    return fit([(t, y) for _, t, y in rows], (counts.get(0, 0), counts.get(1, 0)))
+    rows = [(r.t, r.y) for r in found.orderBy("i", "t").toLocalIterator()]
+    return fit(rows, (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
