@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import held_remainder, table
+from spanweave.llm.common import held_remainder, materialize, table
 
 WINDOW = 64  # tokens in a chain; a text is cut into such chains, all of them scored
 SAMPLE = 4000  # labelled rows of each class that the model is fitted on, at most
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ids = spark.createDataFrame(picked, own.schema)  # at most 2 * SAMPLE rows
     found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", F.coalesce("t", F.lit("")).alias("t"), "y")
-    rows = [(r.t, r.y) for r in found.orderBy("i", "t").toLocalIterator()]
+    rows = [(r.t, r.y) for r in materialize(found, "fit").orderBy("i", "t").toLocalIterator()]
     return fit(rows, (counts.get(0, 0), counts.get(1, 0)))
 
 
