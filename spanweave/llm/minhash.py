@@ -4,8 +4,9 @@
    Texts with equal sets form one class, led by its smallest id; only leaders go on.
 2. Leaders that share a band key are candidates.  Small buckets give their pairs (at most ``SMALL / 2`` a member).  In larger
    ones members are paired with a few hubs, picked by minimum hash with partial aggregation, so a bucket with a third of all
-   rows costs a few pairs a member.  After each round, members already in one component need no more tests; what still stands
-   apart from its bucket's main component after ``ROUNDS`` rounds is paired with every other member, so no link is lost.
+   rows costs a few pairs a member.  After ``ROUNDS`` such rounds, what still stands apart from its bucket's main component is
+   held against every member, block by block, where only a link to another component is given out: no link is lost, and no
+   group ever gives all its pairs.
 3. A candidate pair is compared batch by batch of signature positions; it is dropped once the posterior probability that its
    similarity reaches the threshold falls below ``MISS``.
 4. Survivors are confirmed on full shingle sets with integer arithmetic.  Components join over confirmed links.
@@ -32,7 +33,8 @@ MISS = 1e-6  # chance that pruning drops a pair at or above the threshold
 BATCH = 16  # signature positions looked at before each pruning decision
 SMALL = 24  # buckets up to this size give all their pairs
 HUBS = 3
-ROUNDS = 3
+ROUNDS = 1  # beyond the first
+BLOCK = 2000  # members that are held against each other at a time
 
 
 def bands_for(percent: int) -> int:
@@ -141,6 +143,60 @@ def _picked(prefix: str, seed: int) -> list:
     return [F.min_by("id", F.xxhash64(F.lit(seed * 31 + i), "id")).alias(f"{prefix}{i}") for i in range(HUBS)]
 
 
+def _apart(large: DataFrame, comp: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Members (band, at, id, c: component), and those outside their band's largest component, with members of that as hubs."""
+    named = large.select("band", "at", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "at", "id", F.coalesce("component", "id").alias("c"))
+    part = named.groupBy("band", "c").agg(F.count("*").alias("n"), *_picked("m", seed))
+    main = part.groupBy("band").agg(F.max_by(F.struct("c", *[f"m{i}" for i in range(HUBS)]), F.struct("n", "c")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n_all")).where("parts > 1")
+    main = main.select("band", "n_all", F.col("top.c").alias("top"), *[F.col(f"top.m{i}").alias(f"h{i}") for i in range(HUBS)])
+    return named, named.join(main, "band").where("c <> top")
+
+
+def _rest(named: DataFrame, apart: DataFrame, full: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) of members apart with members of other components of their bands, at most one for each component and block.
+
+    Blocks of members meet blocks of members apart.  A pair is looked at in the first band it shares; signatures prune it batch
+    by batch; survivors are confirmed on full sets, all of one member's at a time by counting over postings.
+    """
+    steps = least_matches(percent, size)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    few = apart.groupBy("band").agg(F.max("n_all").alias("n_all"), F.count("*").alias("n_apart")).select("band", F.ceil(F.col("n_all") / BLOCK).alias("xs"), F.ceil(F.col("n_apart") / BLOCK).alias("ys"))
+    x = named.join(few, "band").select("band", "at", "id", "c", dealt(F.col("xs")).alias("x"), F.explode(F.sequence(F.lit(0), (F.col("ys") - 1).cast("int"))).alias("y"), F.lit(0).alias("side"))
+    y = apart.select("band", "at", "id", "c").join(few, "band").select("band", "at", "id", "c", F.explode(F.sequence(F.lit(0), (F.col("xs") - 1).cast("int"))).alias("x"), dealt(F.col("ys")).alias("y"), F.lit(1).alias("side"))
+    rows = x.union(y).join(full, "id").select(F.xxhash64("band", "x", "y").alias("key"), "at", "id", "c", "side", "sig", "hashes")
+
+    def run(group: pa.Table) -> pa.Table:
+        side, ids, comp = (group[k].to_numpy() for k in ("side", "id", "c"))
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, size)
+        sets = [np.frombuffer(h, np.uint64) for h in group["hashes"].to_pylist()]
+        own = np.flatnonzero(side == 0)
+        at, out = group["at"][0].as_py(), []
+        length = np.array([len(sets[i]) for i in own])
+        words, place = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True)
+        owner = np.repeat(np.arange(len(own)), length)[np.argsort(place, kind="stable")]
+        bound = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(words)))])
+        for u in np.flatnonzero(side == 1):
+            alive = np.flatnonzero(comp[own] != comp[u])
+            same = sig[own[alive]] == sig[u]
+            shared = same.reshape(len(alive), -1, ROWS).all(2)
+            ok = shared[:, at] & ~shared[:, :at].any(1)
+            for n, least in steps:
+                ok &= same[:, :n].sum(1) >= least
+            alive = alive[ok]
+            if not len(alive):
+                continue
+            k = np.searchsorted(words, sets[u])
+            k = k[(k < len(words)) & (words[np.minimum(k, len(words) - 1)] == sets[u])]
+            posts = np.concatenate([owner[bound[i] : bound[i + 1]] for i in k]) if len(k) else np.empty(0, np.int64)
+            both = np.bincount(posts, minlength=len(own))[alive]
+            hit = alive[100 * both >= percent * (len(sets[u]) + length[alive] - both)]
+            _, first = np.unique(comp[own[hit]], return_index=True)
+            out += [(int(ids[u]), int(ids[own[j]])) for j in hit[first]]
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    return rows.groupBy("key").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id (smallest id reachable over links), kept (its own id is that).
 
@@ -154,12 +210,11 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     led = prof.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("lead"), F.min("n_shingles").alias("n"))
     # the leader's signature: any row of the class has the same one
     lead = led.join(prof.select("id", "set_key", "bands", "sig"), (led.lead == F.col("id")) & (led.set_key == prof.set_key)).select("id", "bands", "sig").dropDuplicates(["id"])
-    member = materialize(lead.select("id", F.explode("bands").alias("band")).groupBy("band", "id").agg(F.lit(1).alias("one")).select("band", "id"), "members")
+    member = materialize(lead.select("id", F.posexplode("bands").alias("at", "band")).groupBy("band", "at", "id").agg(F.lit(1).alias("one")).select("band", "at", "id"), "members")
     stat = member.groupBy("band").agg(F.count("*").alias("n"), *_picked("h", 0)).where("n > 1")
     bucket = materialize(member.join(stat, "band"), "buckets")
     cand = bucket.select("id").distinct()
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    cand = materialize(cand, "candidates")
     sigs = materialize(prof.select("id", "sig").where("sig is not null").join(cand, "id", "left_semi").dropDuplicates(["id"]), "signatures")
     sets = materialize(_hashes(src.where("id is not null").join(cand, "id", "left_semi").dropDuplicates(["id"])), "sets")
     size = bands * ROWS
@@ -167,28 +222,18 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     # small buckets: all pairs, a bounded number for each member; larger ones: pairs with hubs
     few = bucket.where(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     few = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    many = bucket.where(f"n > {SMALL}")
-    tried = materialize(few.union(_to_hubs(many)).distinct(), "pairs")
-    links = materialize(_confirmed(materialize(_pruned(tried, sigs, percent, size), "survivors"), sets, percent), "links")
-    if many.isEmpty():
-        comp = connected_components(links)
-    else:
-        large = materialize(many.select("band", "id"), "large")
-        for k in range(1, ROUNDS + 2):
-            comp = materialize(connected_components(links), "components")
-            named = large.join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-            main = named.groupBy("band", "c").agg(F.count("*").alias("n"), *_picked("m", k)).groupBy("band").agg(F.max_by(F.struct("c", *[f"m{i}" for i in range(HUBS)]), F.struct("n", "c")).alias("top"), F.count("*").alias("apart")).where("apart > 1").select("band", F.col("top.c").alias("top"), *[F.col(f"top.m{i}").alias(f"h{i}") for i in range(HUBS)])
-            other = materialize(named.join(main, "band").where("c <> top"), "apart")
-            if other.isEmpty():
-                break
-            if k <= ROUNDS:
-                new = _to_hubs(other)
-            else:
-                new = other.select("band", F.col("id").alias("x"), "c").join(named.select("band", F.col("id").alias("y"), F.col("c").alias("d")), "band").where("c <> d").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            new = materialize(new.distinct().join(tried, ["a", "b"], "left_anti"), "more_pairs")
-            tried = tried.union(new)
-            found = _confirmed(materialize(_pruned(new, sigs, percent, size), "more_survivors"), sets, percent)
-            links = links.union(materialize(found, "more_links"))
+    large = bucket.where(f"n > {SMALL}")
+    tried = materialize(few.union(_to_hubs(large)).distinct(), "pairs")
+    links = materialize(_confirmed(_pruned(tried, sigs, percent, size), sets, percent), "links")
+    comp = connected_components(links)
+    if not large.isEmpty():
+        for k in range(1, ROUNDS + 1):
+            _, apart = _apart(large, materialize(comp, "components"), k)
+            new = materialize(_to_hubs(apart).distinct().join(tried, ["a", "b"], "left_anti"), "more_pairs")
+            links = links.union(materialize(_confirmed(_pruned(new, sigs, percent, size), sets, percent), "more_links"))
+            comp = connected_components(links)
+        named, apart = _apart(large, materialize(comp, "components"), ROUNDS + 1)
+        links = links.union(materialize(_rest(named, apart, sigs.join(sets, "id"), percent, size), "rest_links"))
         comp = connected_components(links)
     # classes with several members or links carry their component; every other text is its own
     label = led.join(comp.withColumnRenamed("node", "lead"), "lead", "left").select("set_key", F.coalesce("component", "lead").alias("component_id"))
