@@ -170,7 +170,7 @@ def _minimizers(src: DataFrame) -> DataFrame:
 
 
 def _shipped(src: DataFrame, kept, hot, shards: int) -> DataFrame:
-    """Stretches of minimizers in the filter: shard, minimizer, whether salted, document, first start, bytes."""
+    """Stretches of minimizers in the filter: shard, minimizer, its salts, document, first start, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = hot.value
@@ -178,6 +178,7 @@ def _shipped(src: DataFrame, kept, hot, shards: int) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 own, gram, start, data, shard, salted = [], [], [], [], [], []
+                k1 = part.column(0).to_pylist()
                 for i, t in enumerate(part.column(2)):
                     raw = t.as_py()
                     g, first, last = stretches(np.frombuffer(raw, np.uint8))
@@ -188,18 +189,17 @@ def _shipped(src: DataFrame, kept, hot, shards: int) -> DataFrame:
                         start.append(a)
                         data.append(raw[a : int(last[k]) + WINDOW])
                         n = salts.get(gram[-1], 1)
-                        # a hot minimizer's stretches are dealt out by their own bytes, so equal ones still meet
-                        shard.append(v % shards if n == 1 else (v + 1 + xxhash.xxh3_64_intdigest(data[-1]) % n) % shards)
-                        salted.append(n > 1)
+                        shard.append(v % shards if n == 1 else (v + 1 + xxhash.xxh3_64_intdigest(f"{k1[i]} {a}") % n) % shards)
+                        salted.append(n)
                 own = pa.array(own, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(gram, pa.int64()), pa.array(salted, pa.bool_()), part.column(0).take(own), part.column(1).take(own), pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["shard", "gram", "salted", "k1", "k2", "start", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(gram, pa.int64()), pa.array(salted, pa.int64()), part.column(0).take(own), part.column(1).take(own), pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["shard", "gram", "salted", "k1", "k2", "start", "data"])
 
-    return src.select("k1", "k2", "text").mapInArrow(run, "shard long, gram long, salted boolean, k1 long, k2 long, start long, data binary")
+    return src.select("k1", "k2", "text").mapInArrow(run, "shard long, gram long, salted long, k1 long, k2 long, start long, data binary")
 
 
-PARTS = 64
+PARTS = 64  # hash ranges for each shard that a hot minimizer is salted over
 RANGES = "k1 long, k2 long, first long, last long, part long, strings binary"
-STRING = np.dtype([("key", np.uint64), ("k1", np.int64), ("k2", np.int64), ("first", np.int64)])
+STRING = np.dtype([("key", np.uint64), ("k1", np.int64), ("k2", np.int64), ("first", np.int64), ("hit", np.bool_)])
 
 
 def _in_shards(rows: DataFrame) -> DataFrame:
@@ -218,20 +218,21 @@ def _in_shards(rows: DataFrame) -> DataFrame:
         several = [(g, d) for g, ds in kinds.items() if len(ds) > 1 for d in ds]
         hits = dict(zip(several, _repeated([d for _, d in several]), strict=True)) if several else {}
         out: list[tuple] = []
-        known: dict[int, list[np.ndarray]] = {}
+        known: dict[tuple[int, int], list[np.ndarray]] = {}
         for key, where in places.items():
             n = len(key[1]) - WINDOW + 1
             hit = np.ones(n, bool) if len(where) > 1 else hits.get(key, np.zeros(n, bool))
             for first, last in _runs(hit):
                 out += [(k1[i], k2[i], start[i] + first, start[i] + last + WINDOW, None, None) for i in where]
-            if salted[where[0]]:  # one place is enough: where there are more, all are repeated anyway
+            if salted[where[0]] > 1:  # one place is enough: where there are more, all are repeated anyway
                 i, own = where[0], np.empty(n, STRING)
                 own["key"] = [xxhash.xxh3_64_intdigest(key[1][j : j + WINDOW]) for j in range(n)]
                 own["k1"], own["k2"], own["first"] = k1[i], k2[i], start[i] + np.arange(n)
-                known.setdefault(key[0], []).append(own)
-        for g, parts in known.items():
+                own["hit"] = hit
+                known.setdefault((key[0], PARTS * salted[i]), []).append(own)
+        for (g, count), parts in known.items():
             own = np.sort(np.concatenate(parts), order="key")
-            bound = np.searchsorted(own["key"] >> np.uint64(58), np.arange(PARTS + 1, dtype=np.uint64))
+            bound = np.searchsorted((own["key"] >> np.uint64(32)) * np.uint64(count) >> np.uint64(32), np.arange(count + 1, dtype=np.uint64))
             out += [(None, None, None, None, xxhash.xxh3_64_intdigest(f"{g} {p}") >> 1, own[a:b].tobytes()) for p, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if a < b]
         cols = list(zip(*out, strict=True)) or [()] * 6
         return pa.table({name: pa.array(c, t) for name, c, t in zip(("k1", "k2", "first", "last", "part", "strings"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
@@ -240,14 +241,17 @@ def _in_shards(rows: DataFrame) -> DataFrame:
 
 
 def _across_shards(sorted_strings: DataFrame) -> DataFrame:
-    """Ranges of salted strings that stand in several shards: each shard's sorted strings are looked up in every other's by binary search."""
+    """Ranges of strings that are single in their shard and stand in others: each shard's sorted strings are looked up in all of them by binary search."""
 
     def run(group: pa.Table) -> pa.Table:
         shards = [np.frombuffer(x, STRING) for x in group["strings"].to_pylist()]
         merged = np.sort(np.concatenate([s["key"] for s in shards]))
-        found = [s[np.searchsorted(merged, s["key"], "right") - np.searchsorted(merged, s["key"], "left") > 1] for s in shards]
-        got = np.concatenate(found)
-        return pa.table({"k1": got["k1"], "k2": got["k2"], "first": got["first"], "last": got["first"] + WINDOW})
+        found = [s[~s["hit"] & (np.searchsorted(merged, s["key"], "right") - np.searchsorted(merged, s["key"], "left") > 1)] for s in shards]
+        got = np.sort(np.concatenate(found), order=("k1", "k2", "first"))
+        begin = np.ones(len(got), bool)
+        begin[1:] = (got["k1"][1:] != got["k1"][:-1]) | (got["k2"][1:] != got["k2"][:-1]) | (got["first"][1:] > got["first"][:-1] + WINDOW)
+        end = np.concatenate([begin[1:], np.ones(min(1, len(got)), bool)])
+        return pa.table({"k1": got["k1"][begin], "k2": got["k2"][begin], "first": got["first"][begin], "last": got["first"][end] + WINDOW})
 
     return sorted_strings.groupBy("part").applyInArrow(run, "k1 long, k2 long, first long, last long")
 
