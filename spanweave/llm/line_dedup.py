@@ -238,7 +238,7 @@ QUERIES = {"op5_line_dedup": op5_line_dedup}
 ORACLE_SQL = {
     "op5_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS no FROM documents),
-w AS (SELECT doc_id, no, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM l),
+w AS (SELECT doc_id, no, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
 k AS (SELECT doc_id, no, line, w, array_to_string(w, ' ') AS key FROM w),
 d AS (SELECT key, any_value(w) AS w, min({'d': doc_id, 'n': no}) AS first FROM k WHERE len(w) > 0 GROUP BY key),
 v AS (SELECT key, first, len(w) AS n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 8)),
