@@ -1,6 +1,6 @@
 """Language-model scoring with a hidden Markov model trained by Baum-Welch.
 
-Tokens are words and one end a text.  The ``HOT`` commonest training tokens have emissions of their own in each state; all others
+Tokens are words and one end a text.  The commonest training words, at most ``HOT``, have emissions of their own in each state; all others
 share one rare symbol, within which a word has its add-one share.  So the model is a proper distribution over texts of known
 and unknown words.  Start: expectation-maximization on a bounded sample.  Then each of ``PASSES`` passes runs forward-backward
 over all training texts on the executors (chains of ``CHAIN`` tokens); expected counts are summed across partitions, in slices of
@@ -220,8 +220,17 @@ def train(src: DataFrame, counts: DataFrame) -> tuple[Vocabulary, HiddenMarkov]:
     """Vocabulary and model of the training rows (order, text); ``counts``: their materialized word counts.  Empty training data give the unigram model."""
     spark = src.sparkSession
     sums = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
-    top = counts.where(f"word is not null and length(word) <= {LONGEST}").orderBy(F.desc("n"), "word").limit(HOT)
-    vocab = Vocabulary([(bytes(r["word"]), r["n"]) for r in top.collect()], sums[2] or 0, sums[0] or 0, sums[1] or 0)
+    # the hot words: all from the least count on at which at most HOT qualify, found by bins of the count's logarithm
+    short = counts.where(f"word is not null and length(word) <= {LONGEST}")
+    bins = short.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
+    least, words = None, 0
+    for r in bins:
+        words += r["words"]
+        if words > HOT:
+            break
+        least = r["least"]
+    top = sorted(((-r["n"], bytes(r["word"])) for r in short.where(F.col("n") >= least).collect())) if least else []
+    vocab = Vocabulary([(w, -n) for n, w in top], sums[2] or 0, sums[0] or 0, sums[1] or 0)
     model = HiddenMarkov.random(vocab.unigram, STATES, 5)
     if not vocab.total:
         return vocab, model
