@@ -498,6 +498,41 @@ def inter_region_summary(curve: DataFrame) -> DataFrame:
     return lv.groupBy("region_a", "region_b").agg(F.max("baseline").alias("baseline"), F.max("k").alias("k_used"), F.avg(infl).alias("auc_inflation"), F.avg("disc").alias("auc_disconnection"))
 
 
+def regional_isolation(graph: RoadGraph, assignment: DataFrame, cfg: LocationConfig | None = None) -> DataFrame:
+    """(region_idx, nodes, edges, baseline, isolation_risk) of every region from its middle, over its inner edges.
+
+    The batch form of ``location_fragility``: a region's edges travel with it by one shuffle, nothing is broadcast, and regions
+    are worked on side by side.
+    """
+    cfg = cfg or LocationConfig()
+    place = graph.nodes.where("lat is not null and lon is not null").join(assignment.where("region_idx is not null"), "node_id").select("node_id", "lat", "lon", "region_idx")
+    a = place.select(F.col("node_id").alias("src"), F.col("lat").alias("ay"), F.col("lon").alias("ax"), "region_idx")
+    b = place.select(F.col("node_id").alias("dst"), F.col("lat").alias("by"), F.col("lon").alias("bx"), F.col("region_idx").alias("rb"))
+    inner = graph.edges.join(a, "src").join(b, "dst").where("region_idx = rb").select("region_idx", "src", "dst", F.col("weight").cast("double").alias("weight"), "ay", "ax", "by", "bx")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        at = {**dict(zip(f["src"], zip(f["ay"], f["ax"], strict=True), strict=True)), **dict(zip(f["dst"], zip(f["by"], f["bx"], strict=True), strict=True))}
+        ids = np.array(sorted(at))
+        xy = np.array([at[i] for i in ids])
+        g = LocalGraph(ids, np.searchsorted(ids, f["src"].to_numpy()), np.searchsorted(ids, f["dst"].to_numpy()), f["weight"].to_numpy())
+        mid = xy.mean(0)
+        off = (xy - mid) * [1.0, math.cos(math.radians(mid[0]))]
+        s = int(np.argmin((off**2).sum(1)))
+        full, _ = dijkstra(g.adjacent, s)
+        reach = [v for v in range(g.n) if v != s and math.isfinite(full[v])]
+        base = risk = 0.0
+        if reach:
+            pick = [reach[i] for i in sorted(np.random.Generator(np.random.PCG64(cfg.seed)).permutation(len(reach))[: cfg.samples])]
+            sector = [int(math.atan2(off[v][1], off[v][0]) % (2 * math.pi) / (2 * math.pi / cfg.bins)) % cfg.bins for v in pick]
+            on = [(u, v) for u, v, w in zip(g.src.tolist(), g.dst.tolist(), g.weight.tolist(), strict=True) if math.isfinite(full[u]) and abs(full[u] + w - full[v]) < 1e-6 * max(1.0, full[u], full[v])]
+            k = max(1, math.ceil(cfg.removal * len(on)))
+            base = _risk(pick, sector, full, full, cfg.bins)[0]
+            risk = float(np.mean([_risk(pick, sector, full, dijkstra(g.adjacent, s, both_ways([on[i] for i in _order(cfg.seed, r, len(on))[:k]]))[0], cfg.bins)[0] for r in range(cfg.runs)]))
+        return pd.DataFrame({"region_idx": [int(f["region_idx"].iloc[0])], "nodes": [g.n], "edges": [len(f)], "baseline": [base], "isolation_risk": [risk]})
+
+    return inner.groupBy("region_idx").applyInPandas(run, "region_idx int, nodes long, edges long, baseline double, isolation_risk double")
+
+
 # ---- areas ----------------------------------------------------------------------------------------------------------------
 
 AREA_WEIGHTS = {"bridge": 0.30, "connectivity": 0.25, "accessibility": 0.25, "fragility": 0.20}

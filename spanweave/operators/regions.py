@@ -110,6 +110,12 @@ def region_centrals(graph: RoadGraph, assignment: DataFrame, regions: DataFrame,
     return own.join(mid, "region_idx").groupBy("region_idx").agg(F.min_by("node_id", F.struct(d, "node_id")).alias("central"))
 
 
+def centrals_by_score(assignment: DataFrame, scores: DataFrame) -> DataFrame:
+    """(region_idx, central): the node of the highest score (node_id, score) in each region, lowest id of equals."""
+    own = assignment.where("region_idx is not null").join(scores.select("node_id", "score"), "node_id")
+    return own.groupBy("region_idx").agg(F.min_by("node_id", F.struct(-F.col("score"), "node_id")).alias("central"))
+
+
 def reduced_graph(graph: RoadGraph, assignment: DataFrame, regions: DataFrame, centrals: DataFrame | None = None) -> RoadGraph:
     """Central and border nodes; central to border both ways at the shortest distance from the central, and border crossings as they are."""
     centrals = centrals if centrals is not None else region_centrals(graph, assignment, regions)

@@ -104,6 +104,7 @@ SELECT od_id, round(min(d + x + y), 6) AS dist FROM f JOIN r ON r.s = f.s AND r.
     "p7_reduced_graph": f"""{A}, c(region_idx, central) AS (VALUES (0, 55::BIGINT), (1, 68), (2, 80), (3, 90)), e AS ({BORDER}), x AS (SELECT * FROM e WHERE ra <> rb), b AS (SELECT src AS node_id, ra AS region_idx FROM x UNION SELECT dst, rb FROM x), {sssp_sql('SELECT central FROM c')},
 k AS (SELECT central, node_id, d FROM b JOIN c USING (region_idx) JOIN r ON s = central AND v = node_id WHERE central <> node_id)
 SELECT src, dst, min(weight) AS weight FROM (SELECT central AS src, node_id AS dst, d AS weight FROM k UNION ALL SELECT node_id, central, d FROM k UNION ALL SELECT src, dst, weight FROM x) GROUP BY 1, 2""",
+    "p10_centrals_by_degree": f"{A}, g AS (SELECT node_id, count(src) AS n FROM nodes LEFT JOIN edges ON src = node_id GROUP BY 1) SELECT CAST(region_idx AS BIGINT) AS region_idx, arg_max(node_id, (n, -node_id)) AS central FROM assignment JOIN g USING (node_id) WHERE region_idx IS NOT NULL GROUP BY 1",
     "p9_components": f"""{G}, e AS (SELECT src, dst FROM edges WHERE src % 3 > 0 AND dst % 3 > 0), c(v, k) USING KEY (v) AS (SELECT node_id, node_id FROM nodes UNION SELECT e.dst, min(c.k) FROM c JOIN e ON e.src = c.v JOIN recurring.c q ON q.v = e.dst WHERE c.k < q.k GROUP BY 1) SELECT v AS node_id, k AS component FROM c""",
     "p1_bridges": f"{G} SELECT src AS u, dst AS v FROM edges WHERE src < dst AND (dst - src = 1 OR src % 50 = 0 AND dst % 50 = 0)",
     "r12_isolation_score": """WITH x AS (SELECT o_custkey % 5 AS run, o_orderkey % 8 AS b, CASE WHEN o_orderkey % 13 > 0 THEN (o_orderkey % 50 + 1)::DOUBLE END AS f, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 8 <> o_custkey % 5 THEN (o_orderkey % 90 + 10)::DOUBLE END AS k FROM orders),

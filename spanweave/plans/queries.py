@@ -538,6 +538,12 @@ def p9_components(spark, sf):
     return topology.components(RoadGraph(g.nodes, g.edges.where("src % 3 > 0 and dst % 3 > 0")))
 
 
+@query
+def p10_centrals_by_degree(spark, sf):
+    g, a = assigned(spark, sf)
+    return regions.centrals_by_score(a, g.out_degree().select("node_id", F.col("degree").cast("double").alias("score")))
+
+
 # ---- replacement paths and measures ---------------------------------------------------------------------------------------
 
 
@@ -645,6 +651,11 @@ def r23_ensemble(spark, sf):
     return fragility.ensemble_stats(fragility.ensemble(grid(spark, sf), SMALL_RING, 5, od=10))
 
 
+@query
+def r24_regional_isolation(spark, sf):
+    return fragility.regional_isolation(*assigned(spark, sf), fragility.LocationConfig(runs=4, samples=60))
+
+
 @query
 def c1_edge_betweenness(spark, sf):
     g = grid(spark, sf)

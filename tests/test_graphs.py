@@ -198,3 +198,10 @@ def test_samplers(spark):
     assert e.count() == g.edges.count() and v.count() == 64
     alt = paths.alternative_routes(g, spark.createDataFrame([(0, 0, 63)], "od_id long, src long, dst long")).collect()
     assert alt and all(r.sharing < 0.8 and r.stretch <= 1.25 for r in alt)
+
+
+def test_regional_isolation(spark):
+    nodes = spark.createDataFrame([(r * 6 + c, 35 + 0.01 * r, -83 + 0.01 * c) for r in range(6) for c in range(6)], "node_id long, lat double, lon double")
+    a = nodes.selectExpr("node_id", "cast(if(node_id < 18, 0, 1) as int) as region_idx")
+    got = {r.region_idx: r for r in fragility.regional_isolation(RoadGraph(nodes, grid_graph(spark, 6, 6).edges), a, fragility.LocationConfig(runs=3, samples=10)).collect()}
+    assert got.keys() == {0, 1} and all(r.nodes == 18 and r.edges == 54 and 0 <= r.baseline <= r.isolation_risk <= 1 for r in got.values())
