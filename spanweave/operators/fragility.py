@@ -34,6 +34,7 @@ def route_fragility(graph: RoadGraph, od: DataFrame, method: str = "interval", e
     Both agree.  approx: detours are rounded to geometric segments of the path, at most a share ``eps`` below the exact value.
     """
     shipped = graph.spark.sparkContext.broadcast(graph.local())
+    names = ["od_id", "pos", "src", "dst", "primary", "replacement", "ratio"]
 
     def exact(g: LocalGraph, s: int, t: int, way: list[int]) -> list[float]:
         return [dijkstra(g.adjacent, s, {(u, v)}, t)[0][t] for u, v in zip(way, way[1:])]
@@ -115,7 +116,10 @@ def route_fragility(graph: RoadGraph, od: DataFrame, method: str = "interval", e
                 for k, c in enumerate(costs):
                     ok = math.isfinite(c)
                     out.append((r.od_id, k, int(g.ids[way[k]]), int(g.ids[way[k + 1]]), d[t], c if ok else None, (c / d[t] if d[t] > 0 else 1.0) if ok else None))
-            yield pd.DataFrame(out, columns=["od_id", "pos", "src", "dst", "primary", "replacement", "ratio"])
+                if len(out) > 50_000:  # a batch of pairs has millions of path edges on a large graph
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     o = od.select("od_id", "src", "dst")
     return o.repartition(o.sparkSession.sparkContext.defaultParallelism, "od_id").mapInPandas(run, "od_id long, pos int, src long, dst long, primary double, replacement double, ratio double")

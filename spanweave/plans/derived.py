@@ -20,8 +20,12 @@ FROM (SELECT a AS src, b AS dst, w AS weight, c FROM (
     SELECT p_partkey AS a, p_partkey + 1 AS b, CAST(1 + p_size % 10 AS DOUBLE) AS w, p_partkey % 7 AS c FROM {part} WHERE p_partkey % 50 < 49 AND p_partkey + 1 <= (SELECT max(p_partkey) FROM {part})
     UNION ALL SELECT p_partkey, p_partkey + 50, CAST(1 + p_size % 10 AS DOUBLE), p_partkey % 7 FROM {part} WHERE p_partkey + 50 <= (SELECT max(p_partkey) FROM {part})) u) e"""
 
-OD = """SELECT od_id, src, dst FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS od_id, o_custkey % n AS src, o_orderkey % n AS dst
-  FROM {orders}, (SELECT count(*) AS n FROM {part}) t WHERE o_custkey % n <> o_orderkey % n) o WHERE od_id < 50"""
+#: Every order as a pair of grid nodes.
+PAIRS = """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS od_id, o_custkey % n AS src, o_orderkey % n AS dst
+  FROM {orders}, (SELECT count(*) AS n FROM {part}) t WHERE o_custkey % n <> o_orderkey % n"""
+
+#: The first 50, for queries whose DuckDB SQL is held to them.
+OD = f"SELECT od_id, src, dst FROM ({PAIRS}) o WHERE od_id < 50"
 
 POINTS = "SELECT c_custkey AS point_id, 35e0 + (c_custkey % 397) * 1e-4 AS lat, -83e0 + (c_custkey % 491) * 1e-3 AS lon FROM {customer}"
 

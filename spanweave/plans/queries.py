@@ -44,6 +44,10 @@ def od50(spark, sf) -> DataFrame:
     return d.sql(spark, sf, d.OD)
 
 
+def pairs(spark, sf) -> DataFrame:
+    return d.sql(spark, sf, d.PAIRS)
+
+
 def points(spark, sf) -> DataFrame:
     return d.sql(spark, sf, d.POINTS)
 
@@ -134,19 +138,19 @@ def s18_tree(spark, sf):
 
 @query
 def k1_fragility_rows(spark, sf):
-    g, od = grid(spark, sf), od50(spark, sf).where("od_id < 10")
+    g, od = grid(spark, sf), pairs(spark, sf)
     return sinks.fragility_rows(fragility.route_fragility(g, od), od)
 
 
 @query
 def k4_fragility_json(spark, sf):
-    g, od = grid(spark, sf), od50(spark, sf).where("od_id < 10")
+    g, od = grid(spark, sf), pairs(spark, sf)
     return sinks.fragility_json(fragility.route_fragility(g, od), od)
 
 
 @query
 def k5_path_geojson(spark, sf):
-    g, od = grid(spark, sf), od50(spark, sf).where("od_id < 10")
+    g, od = grid(spark, sf), pairs(spark, sf)
     return sinks.path_geojson(paths.paths(g, od), g.nodes, ("dist",))
 
 
@@ -467,7 +471,7 @@ def g16_alt_bound(spark, sf):
 
 @query
 def g19_alternative_routes(spark, sf):
-    return paths.alternative_routes(grid(spark, sf), od50(spark, sf).where("od_id < 10")).select("od_id", "rank", "dist", "sharing", "stretch")
+    return paths.alternative_routes(grid(spark, sf), pairs(spark, sf)).select("od_id", "rank", "dist", "sharing", "stretch")
 
 
 @query
@@ -549,28 +553,28 @@ def p10_centrals_by_degree(spark, sf):
 
 @query
 def r1_route_fragility(spark, sf):
-    return fragility.route_fragility(grid(spark, sf), od50(spark, sf).where("od_id < 5"), "exact")
+    return fragility.route_fragility(grid(spark, sf), pairs(spark, sf), "exact")
 
 
 @query
 def r3_bottleneck(spark, sf):
-    return fragility.bottleneck(fragility.route_fragility(grid(spark, sf), od50(spark, sf)))
+    return fragility.bottleneck(fragility.route_fragility(grid(spark, sf), pairs(spark, sf)))
 
 
 @query
 def r4_interval_replacement(spark, sf):
-    return fragility.route_fragility(grid(spark, sf), od50(spark, sf))
+    return fragility.route_fragility(grid(spark, sf), pairs(spark, sf))
 
 
 @query
 def r5_approximate_replacement(spark, sf):
-    return fragility.route_fragility(grid(spark, sf), od50(spark, sf), "approx")
+    return fragility.route_fragility(grid(spark, sf), pairs(spark, sf), "approx")
 
 
 @query
 def r6_filtered_fragility(spark, sf):
     g = grid(spark, sf)
-    return fragility.filtered_route_fragility(g, od50(spark, sf).where("od_id < 10"), topology.node_levels(g), paths.landmarks(g, 4))
+    return fragility.filtered_route_fragility(g, pairs(spark, sf), topology.node_levels(g), paths.landmarks(g, 4))
 
 
 @query
