@@ -27,3 +27,17 @@ def test_every_order_is_a_pair(spark, name):
 def test_alternatives_of_every_order(spark):
     got = {r.od_id for r in queries.QUERIES["g19_alternative_routes"](spark, D).select("od_id").distinct().collect()}
     assert len(got) > 50 and max(got) > 1000
+
+
+def test_every_point_and_found_bridge(spark):
+    got = queries.QUERIES["j7_nearest_edges"](spark, D)
+    near = queries.points(spark, D).where("lon < -82.5").select("point_id")  # on the grid's columns
+    assert near.where("point_id % 20 > 0").count() > 0 and near.join(got, "point_id", "left_anti").count() == 0
+    cost = {(r.u, r.v): r.cost for r in queries.QUERIES["p2_bridge_costs"](spark, D).collect()}
+    assert cost.keys() == {(r.u, r.v) for r in queries.QUERIES["p1_bridges"](spark, D).collect()} and set(cost.values()) == {None}
+
+
+def test_betweenness_of_the_whole_grid(spark):
+    g = queries.grid(spark, D)
+    assert queries.QUERIES["c1_edge_betweenness"](spark, D).count() == g.edges.count()
+    assert queries.QUERIES["c1_node_betweenness"](spark, D).count() == g.nodes.count()
