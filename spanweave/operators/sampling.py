@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from spanweave.graph import RoadGraph
@@ -11,6 +14,9 @@ from spanweave.operators.paths import distances
 from spanweave.shared import materialize
 
 
+STEPS = 16  # choices after which the distances to them are written
+
+
 def _key(seed: int, *cols: str) -> Column:
     return F.xxhash64(*cols, F.lit(seed))
 
@@ -45,23 +51,46 @@ def sample_edges(graph: RoadGraph, n: int = 100, strategy: str = "uniform", seed
         picked = cells.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(*key))).where(F.col("r") <= share).orderBy("r", *key).limit(n)
         return pool.join(picked.select("edge_id"), "edge_id", "left_semi")
     if strategy == "dispersed":
-        # the greedy choice is sequential; it runs over a bounded, seeded pool
-        pts = mid.orderBy(*key).limit(max(2000, 20 * n)).select("edge_id", "lat", "lon").toPandas()
-        chosen, least = [], np.full(len(pts), np.inf)
-        rad = np.radians(pts[["lat", "lon"]].to_numpy())
-        while len(chosen) < min(n, len(pts)):
-            k = int(np.argmax(least)) if chosen else 0
-            if chosen and least[k] < spacing_m:
-                break
-            chosen.append(k)
-            d = np.sin((rad - rad[k]) / 2) ** 2
-            a = d[:, 0] + np.cos(rad[:, 0]) * np.cos(rad[k, 0]) * d[:, 1]
-            least = np.minimum(least, 2 * 6_371_000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)))
-        ids = graph.spark.createDataFrame([(int(i),) for i in pts["edge_id"].iloc[chosen]], "edge_id long")
+        chosen = _dispersed(mid.withColumn("key", key[0]), n, spacing_m)
+        ids = graph.spark.createDataFrame([(i,) for i in chosen], "edge_id long")
         return pool.join(F.broadcast(ids), "edge_id", "left_semi")
     raise ValueError(f"unknown strategy {strategy}")
 
 
+def _dispersed(points: DataFrame, n: int, spacing_m: float) -> list[int]:
+    """Edge ids of ``points`` (edge_id, lat, lon, key), farthest first from the least key; ties to the least key, then id.
+
+    The choice is sequential, the search for each is not: every point's least distance to the chosen ones is kept in a table, and
+    tasks bring it up to date with those chosen since.
+    """
+
+    def nearer(frame: DataFrame, to: list[Row]) -> DataFrame:
+        ends = [(r.edge_id, np.radians(np.array([r.lat, r.lon]))) for r in to]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rad, least = np.radians(f[["lat", "lon"]].to_numpy()), f["least"].to_numpy()
+                for _, at in ends:
+                    d = np.sin((rad - at) / 2) ** 2
+                    a = d[:, 0] + np.cos(rad[:, 0]) * np.cos(at[0]) * d[:, 1]
+                    least = np.minimum(least, 2 * 6_371_000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)))
+                yield f.assign(least=least)[~f["edge_id"].isin([i for i, _ in ends])]
+
+        return frame.mapInPandas(run, "edge_id long, lat double, lon double, key long, least double")
+
+    rest = materialize(points.select("edge_id", "lat", "lon", "key", F.lit(float("inf")).alias("least")), "dispersed")
+    chosen, new = [], []
+    while len(chosen) < n:
+        if len(new) == STEPS:
+            rest, new = materialize(nearer(rest, new), "dispersed"), []
+        best = nearer(rest, new).orderBy(F.desc("least"), "key", "edge_id").first()
+        if best is None or best.least < spacing_m:
+            break
+        chosen.append(best.edge_id)
+        new.append(best)
+    return chosen
+
+
 def midpoints(graph: RoadGraph) -> DataFrame:
     """(edge_id, lat, lon) of edges whose ends have coordinates."""
     c = graph.nodes.where("lat is not null and lon is not null").select("node_id", "lat", "lon")
