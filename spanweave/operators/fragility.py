@@ -609,10 +609,9 @@ def scenario(graph: RoadGraph, ring: Sequence[tuple[float, float]], hazard: Sequ
 
 
 def ensemble(graph: RoadGraph, ring: Sequence[tuple[float, float]], runs: int = 20, seed: int = 42, **how) -> DataFrame:
-    """(run, composite) over seeds."""
-    base = area_index(area_scores(graph, ring, seed=seed, **how))
-    # without failed edges every sampled ratio is 1, so no seed moves a sub-score and one evaluation serves all runs
-    return base.select("composite").crossJoin(graph.spark.range(runs).select(F.col("id").cast("int").alias("run"))).select("run", "composite")
+    """(run, composite): run i has the seed ``seed`` + i for its sampled pairs and its accessibility."""
+    rows = [(i, area_index(area_scores(graph, ring, seed=seed + i, **how)).first()["composite"]) for i in range(runs)]
+    return graph.spark.createDataFrame(rows, "run int, composite double")
 
 
 def ensemble_stats(runs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from spanweave.graph import RoadGraph
-from spanweave.operators import sampling
+from spanweave.operators import fragility, sampling
 from spanweave.sources.loaders import grid_graph
 
 
@@ -31,3 +31,12 @@ def test_dispersed_sees_every_edge(spark):
     got = {r.edge_id for r in sampling.sample_edges(g, 20, "dispersed").collect()}
     assert got == set(pts["edge_id"].iloc[chosen].tolist())
     assert sampling.sample_edges(g, 20, "dispersed", spacing_m=1e9).count() == 1
+
+
+def test_ensemble_takes_every_seed(spark):
+    g = placed(spark, 6, 6)
+    ring = [(34.9, -83.1), (34.9, -82.9), (35.1, -82.9), (35.1, -83.1)]
+    gone = g.edges.where("src in (7, 14, 21) or dst in (7, 14, 21)").select("src", "dst")
+    got = {r.run: r.composite for r in fragility.ensemble(g, ring, 3, seed=5, od=6, blocked=gone).collect()}
+    want = {i: fragility.area_index(fragility.area_scores(g, ring, 6, 5 + i, blocked=gone)).first().composite for i in range(3)}
+    assert got == want and len(set(got.values())) > 1
