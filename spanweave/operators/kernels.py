@@ -33,6 +33,27 @@ def dijkstra(adjacent: list, source: int, blocked: frozenset | set = frozenset()
     return dist, pred
 
 
+def nearest(adjacent: list, source: int, goal: set, most: float = INF) -> tuple[int, float]:
+    """Nearest node of ``goal`` and its distance, lowest of equals; (-1, INF) if none is nearer than ``most``."""
+    best, done = {source: 0.0}, set()
+    heap = [(0.0, source)]
+    found = (INF, -1)
+    while heap and heap[0][0] <= found[0]:
+        d, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        if u in goal:
+            found = min(found, (d, u))
+            continue
+        for v, w in adjacent[u]:
+            nd = d + w
+            if nd < most and nd < best.get(v, INF):
+                best[v] = nd
+                heapq.heappush(heap, (nd, v))
+    return found[1], found[0]
+
+
 def path_to(pred: list[int], source: int, target: int) -> list[int]:
     """Nodes from source to target, empty if there is no way."""
     if source == target:

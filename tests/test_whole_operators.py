@@ -3,9 +3,10 @@
 import math
 
 import numpy as np
+import pytest
 
 from spanweave.graph import RoadGraph
-from spanweave.operators import fragility, sampling
+from spanweave.operators import fragility, sampling, topology
 from spanweave.sources.loaders import grid_graph
 
 
@@ -40,3 +41,32 @@ def test_ensemble_takes_every_seed(spark):
     got = {r.run: r.composite for r in fragility.ensemble(g, ring, 3, seed=5, od=6, blocked=gone).collect()}
     want = {i: fragility.area_index(fragility.area_scores(g, ring, 6, 5 + i, blocked=gone)).first().composite for i in range(3)}
     assert got == want and len(set(got.values())) > 1
+
+
+@pytest.fixture
+def line(spark):
+    """Ten nodes on a line, weight 1 each way."""
+    e = spark.createDataFrame([x for i in range(9) for x in ((i, i + 1, 1.0), (i + 1, i, 1.0))], "src long, dst long, weight double")
+    return RoadGraph.from_edges(e)
+
+
+def test_degradation_walks_removed_ends(spark, line):
+    """Pruned to 0..4: nodes 5..9 walk to 4, so the way back and forth is counted and no pair is lost."""
+    less = line.restrict(spark.range(5).withColumnRenamed("id", "node_id"))
+    got = topology.degradation(line, less, 10).first()
+    ids = [r.node_id for r in line.nodes.orderBy(sampling._key(42, "node_id"), "node_id").collect()]
+    to = [r.node_id for r in line.nodes.orderBy(sampling._key(43, "node_id"), "node_id").collect()]
+    pairs = [(a, b) for a, b in zip(ids, to) if a != b]
+    walk = lambda v: max(0, v - 4)
+    stretch = sorted(max(1.0, (walk(a) + abs(min(a, 4) - min(b, 4)) + walk(b)) / abs(a - b)) for a, b in pairs)
+    assert got.pairs == len(pairs) and got.connected == 1.0 and abs(got.mean_stretch - sum(stretch) / len(stretch)) < 1e-12 and got.max_stretch == stretch[-1] > 1
+    assert (got.bridges, got.bridges_kept) == (9, 4)
+
+
+def test_degradation_counts_lost_pairs(spark, line):
+    """Two halves without the edge between: pairs across are not connected; with no way to a kept node neither."""
+    cut = RoadGraph(line.nodes, line.edges.where("not (src in (4, 5) and dst in (4, 5))"))
+    got = topology.degradation(line, cut, 10).first()
+    assert 0 < got.connected < 1 and got.max_stretch == 1.0 and (got.bridges, got.bridges_kept) == (9, 8)
+    far = topology.degradation(line, line.restrict(spark.range(1).withColumnRenamed("id", "node_id")), 10, most_access=2.0).first()
+    assert far.connected < 1
