@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. One scan makes, for each text, its shingle-set size, a 128-bit key of the set, a MinHash signature and its band keys.
-   Texts with equal sets form one class, led by its smallest id; only leaders go on.
+   Texts with equal sets form one class, led by its smallest id; one text of each class goes on.
 2. Leaders that share a band key are candidates.  Small buckets give their pairs (at most ``SMALL / 2`` a member).  In larger
    ones members are paired with a few hubs, picked by minimum hash with partial aggregation, so a bucket with a third of all
    rows costs a few pairs a member.  After ``ROUNDS`` such rounds, what still stands apart from its bucket's main component is
@@ -9,7 +9,8 @@
    group ever gives all its pairs.
 3. A candidate pair is compared batch by batch of signature positions; it is dropped once the posterior probability that its
    similarity reaches the threshold falls below ``MISS``.
-4. Survivors are confirmed on full shingle sets with integer arithmetic.  Components join over confirmed links.
+4. Survivors are confirmed on full shingle sets with integer arithmetic.  Components join over confirmed links, and over ids
+   that have several texts.
 """
 
 from __future__ import annotations
@@ -130,13 +131,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _hashes(df: DataFrame) -> DataFrame:
+    """(id, hashes) of the rows (id, set_key, text) whose text has that set: an id's other texts are of other classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["id", "hashes"])
+                sets = [shingle_set(t.as_py()).tobytes() for t in part.column(2)]
+                own = [i for i, (s, k) in enumerate(zip(sets, part.column(1), strict=True)) if xxhash.xxh3_128_digest(s) == k.as_py()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i] for i in own], pa.binary())], names=["id", "hashes"])
 
-    return df.mapInArrow(run, "id long, hashes binary")
+    return df.select("id", "set_key", "text").mapInArrow(run, "id long, hashes binary")
 
 
 def _picked(prefix: str, seed: int) -> list:
@@ -202,21 +207,26 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
 
     A link joins texts with 100 * intersection >= ``percent`` * union of their distinct 5-word shingles; a text of fewer words
     is one shingle, and one without words (or null) links with nothing.  Ids are long; repeated ids are one document whose rows
-    all stay in the result; a null id links with nothing, has a null component and is kept.  Other columns are not read, so
+    all stay in the result and which any of its texts links; a null id links with nothing, has a null component and is kept.  Other columns are not read, so
     their names cannot clash.  An empty table gives an empty result.
     """
     bands = bands_for(percent)
     prof = materialize(_profiles(df, id_col, text_col, bands), "profiles")
-    led = prof.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("lead"), F.min("n_shingles").alias("n"))
-    # the leader's signature: any row of the class has the same one
-    lead = led.join(prof.select("id", "set_key", "bands", "sig"), (led.lead == F.col("id")) & (led.set_key == prof.set_key)).select("id", "bands", "sig").dropDuplicates(["id"])
+    # a class is a node of its own, as the least id of several classes can be the same one
+    led = prof.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("lead"))
+    led = materialize(led.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # bands and signature of the leader: any row of the class has the same ones
+    of = led.select("lead", F.col("set_key").alias("key"), "node")
+    lead = of.join(prof, (F.col("lead") == F.col("id")) & (F.col("key") == F.col("set_key"))).select(F.col("node").alias("id"), "bands").dropDuplicates(["id"])
     member = materialize(lead.select("id", F.posexplode("bands").alias("at", "band")).groupBy("band", "at", "id").agg(F.lit(1).alias("one")).select("band", "at", "id"), "members")
     stat = member.groupBy("band").agg(F.count("*").alias("n"), *_picked("h", 0)).where("n > 1")
     bucket = materialize(member.join(stat, "band"), "buckets")
     cand = bucket.select("id").distinct()
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sigs = materialize(prof.select("id", "sig").where("sig is not null").join(cand, "id", "left_semi").dropDuplicates(["id"]), "signatures")
-    sets = materialize(_hashes(src.where("id is not null").join(cand, "id", "left_semi").dropDuplicates(["id"])), "sets")
+    asked = of.join(cand.withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("lead").alias("id"), F.col("key").alias("set_key"), "node")
+    sigs = materialize(asked.join(prof.select("id", "set_key", "sig"), ["id", "set_key"]).select(F.col("node").alias("id"), "sig").dropDuplicates(["id"]), "signatures")
+    rows = src.where("id is not null").join(asked, "id").select(F.col("node").alias("id"), "set_key", "text")
+    sets = materialize(_hashes(rows).dropDuplicates(["id"]), "sets")
     size = bands * ROWS
 
     # small buckets: all pairs, a bounded number for each member; larger ones: pairs with hubs
@@ -235,10 +245,17 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
         named, apart = _apart(large, materialize(comp, "components"), ROUNDS + 1)
         links = links.union(materialize(_rest(named, apart, sigs.join(sets, "id"), percent, size), "rest_links"))
         comp = connected_components(links)
-    # classes with several members or links carry their component; every other text is its own
+    # from classes to ids: links join the classes' leaders, and an id with several texts joins the leaders of all of them
+    links = comp.join(led.select("node", F.col("lead").alias("a")), "node").join(led.select(F.col("node").alias("component"), F.col("lead").alias("b")), "component").select("a", "b")
+    blank = F.lit(b"")
+    several = materialize(prof.where("id is not null").groupBy("id").agg(F.min(F.coalesce("set_key", blank)).alias("x"), F.max(F.coalesce("set_key", blank)).alias("y")).where("x <> y").select("id"), "several")
+    texts = prof.where("set_key is not null").join(several, "id", "left_semi").select("id", "set_key").distinct().join(led, "set_key")
+    comp = materialize(connected_components(links.union(texts.select("id", "lead"))), "id_components")
+    # classes with several members or links carry their component; every other text is its own, one without words its id's
     label = led.join(comp.withColumnRenamed("node", "lead"), "lead", "left").select("set_key", F.coalesce("component", "lead").alias("component_id"))
-    out = prof.select("id", "n_shingles", "set_key").join(label, "set_key", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    bare = several.join(comp.withColumnRenamed("node", "id"), "id").select("id", "component")
+    out = prof.select("id", "n_shingles", "set_key").join(label, "set_key", "left").join(bare, "id", "left")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
