@@ -3,9 +3,9 @@
 A BPE encoding is the only token sequence in which every token encodes to itself and every neighbouring pair encodes to that
 pair.  So each prefix of a text has one last token: the candidate that an automaton finds ending there and that is compatible
 with the last token of the prefix before it.  The table of last tokens is filled from left to right; ids are read off from the
-right.  No piece reaches from a letter into another character or from any character into a following blank (checked against
-the vocabulary when it is loaded), so the table is filled for each such chunk on its own; frequent words and chunks are
-remembered in a bounded memory.
+right.  No piece reaches from any character into a following blank (checked against the vocabulary when it is loaded), so words
+with their leading blanks are encoded on their own: the tables of all different words of some texts are filled together, prefix
+by prefix, in numpy.  Texts with runs of blanks and very long words go chunk by chunk, with a bounded memory of chunks.
 """
 
 from __future__ import annotations
@@ -13,20 +13,24 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import table
+from spanweave.llm.common import slices, table
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # piece types of the model file
 BPE = 2  # its model type
 LETTERS = "A-Za-zÀ-ɏ"
 START, WIDE = -1, 1 << 20  # no token yet; above any id
+TABLE, LONG = 600_000, 100  # cells of the tables filled together, about; longer words (at most 127) go one by one
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -58,14 +62,55 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class HashTable:
+    """64-bit keys to numbers from 0 on, in arrays (open addressing, linear probing)."""
+
+    def __init__(self, keys: int):
+        self._room(1 << max(8, (3 * keys).bit_length()))
+
+    def _room(self, size: int) -> None:
+        self.keys, self.values, self.count = np.full(size, -(1 << 62), np.int64), np.full(size, -1, np.int32), 0
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 for unknown ones."""
+        at = self._home(key)
+        out, left = self.values[at], np.flatnonzero((self.keys[at] != key) & (self.values[at] >= 0))
+        out[self.keys[at] != key] = -1
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            same = self.keys[at] == key[left]
+            out[left[same]] = self.values[at[same]]
+            on = ~same & (self.values[at] >= 0)
+            left, at = left[on], at[on]
+        return out
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        """New, different keys."""
+        if 2 * (self.count + len(key)) > len(self.keys):
+            used = self.values >= 0
+            key, value = np.concatenate([self.keys[used], key]), np.concatenate([self.values[used], value])
+            self._room(1 << (3 * len(key)).bit_length())
+        self.count += len(key)
+        at, left = self._home(key), np.arange(len(key))
+        while len(left):
+            free = self.values[at] < 0
+            self.keys[at[free]], self.values[at[free]] = key[left[free]], value[left[free]]  # of several for one place the last stays
+            on = self.keys[at] != key[left]
+            left, at = left[on], (at[on] + 1) & (len(self.keys) - 1)
+
+
 class PieceModel:
     """Vocabulary and exact encoder/decoder of one merge-type model.
 
     Supported: BPE models with byte fallback, the identity normalizer and no user-defined pieces; others raise ValueError.
-    ``memory`` bounds the remembered words and chunks (two generations of each).
+    ``memory`` bounds the remembered chunks (two generations).
     """
 
-    def __init__(self, blob: bytes, memory: int = 400_000):
+    def __init__(self, blob: bytes, memory: int = 100_000):
         pieces, spec, norm = [], {}, {}
         for number, value in _fields(blob):
             if number == 1:
@@ -93,8 +138,9 @@ class PieceModel:
         self.names = [p for p, _, _ in pieces]
         self._grow_automaton()
         self._pairs: dict[int, bool] = {}
-        self._half = max(1, memory // 4)
-        self._words: list[dict[str, tuple[int, ...]]] = [{}, {}]
+        self._spines()
+        self._tables()
+        self._half = max(1, memory // 2)
         self._parts: list[dict[str, tuple[int, ...]]] = [{}, {}]
 
     def _grow_automaton(self) -> None:
@@ -129,10 +175,128 @@ class PieceModel:
         while (found := self._goto.get(at << 21 | ord(c))) is None and at:
             at = self._fail[at]
         found = found or 0
-        if len(self._goto) < 1_000_000:
+        if len(self._goto) < 200_000:
             self._goto[key] = found
         return found
 
+    def _tables(self) -> None:
+        """The automaton and the answers of compatibility tests as arrays, for many chunks at once."""
+        moves = np.array(list(self._goto.items()), np.int64).reshape(-1, 2)
+        moves = moves[np.argsort(moves[:, 0])]
+        self._moves, self._targets = HashTable(len(moves)), moves[:, 1].astype(np.int32)
+        self._moves.add(moves[:, 0], np.arange(len(moves), dtype=np.int32))
+        self._fails = np.array(self._fail, np.int32)
+        # of each state the longest piece that ends there, and the state of the next shorter one (0: none)
+        self._own = np.array([e[0][0] if e else -1 for e in self._ends], np.int32)
+        self._long = np.array([e[0][1] if e else 0 for e in self._ends], np.int32)
+        shorter = np.zeros(len(self._ends), np.int32)
+        for state, ends in enumerate(self._ends):
+            if len(ends) > 1:
+                at = self._fail[state]
+                while len(self._ends[at]) != len(ends) - 1 or self._ends[at][0] != ends[1]:
+                    at = self._fail[at]
+                shorter[state] = at
+        self._shorter = shorter
+        self._fits = HashTable(1 << 17)
+
+    def _stepped(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Next states of many at once."""
+        out, left = np.zeros(len(state), np.int32), np.arange(len(state))
+        while len(left):
+            found = self._moves.get(state[left].astype(np.int64) << 21 | char[left])
+            hit = found >= 0
+            out[left[hit]] = self._targets[found[hit]]
+            left = left[~hit & (state[left] > 0)]
+            state = state.copy()
+            state[left] = self._fails[state[left]]
+        return out
+
+    def _compatible_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs; answers are remembered in a bounded table."""
+        key = left.astype(np.int64) * WIDE + right
+        fit = self._fits.get(key)
+        new = np.flatnonzero(fit < 0)
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            answers = np.array([self.compatible(int(k) >> 20, int(k) & WIDE - 1) for k in asked], np.int32)
+            if self._fits.count + len(asked) > 1 << 20:
+                self._fits = HashTable(1 << 17)
+            self._fits.add(asked, answers)
+            fit[new] = answers[back]
+        return fit == 1
+
+    def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of words, each led by a blank: one column of a table each, filled for many of them prefix by prefix."""
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        order = np.argsort(-size, kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # (words, ids), of each word from its end
+        at = int(np.searchsorted(-size[order], -LONG))
+        for i in order[:at].tolist():
+            ids = self._encode_text(BLANK + words[i].as_py())
+            found.append((np.full(len(ids), i), np.array(ids[::-1], np.int32)))
+        while at < len(order):  # tables of bounded size
+            some = order[at : at + max(1, TABLE // (int(size[order[at]]) + 1))]
+            at += len(some)
+            found += self._filled(words.take(pa.array(some)), some, size[some])
+        who, what = (np.concatenate(x) for x in zip(*found, (np.empty(0, np.int64), np.empty(0, np.int32)), strict=True))
+        put = np.lexsort((-np.arange(len(who)), who))
+        who, what = who[put], what[put]
+        if len(what) and what.min() < 0:  # characters outside the vocabulary are their bytes
+            odd = np.flatnonzero(what < 0)
+            spelt = [[self.byte_id[b] for b in chr(-2 - int(what[k])).encode()] for k in odd]
+            times = np.ones(len(what), np.int64)
+            times[odd] = [len(x) for x in spelt]
+            who, what = np.repeat(who, times), np.repeat(what, times)
+            what[what < 0] = list(chain.from_iterable(spelt))
+        return np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(words)))]), what
+
+    def _filled(self, words: pa.StringArray, name: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tables of last tokens of words sorted by falling size; (names, ids) read off from the ends."""
+        joined = "".join([BLANK + w for w in words.to_pylist()])
+        flat = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        first, width, n = np.cumsum(size) - size, int(size[0]), len(name)
+        last, back, state = np.full((width + 1, n), START, np.int32), np.zeros((width + 1, n), np.int8), np.zeros(n, np.int32)
+        for k in range(1, width + 1):
+            n = int(np.searchsorted(-size, -k, side="right"))
+            char = flat[first[:n] + k - 1]
+            state = self._stepped(state[:n], char)
+            last[k, :n], back[k, :n] = -2 - char, 1  # unless a piece fits, the character stands alone
+            left, cand = np.arange(n), state
+            while len(left):
+                has = self._own[cand] >= 0
+                left, cand = left[has], cand[has]
+                token, length = self._own[cand], self._long[cand]
+                fit = self._compatible_many(last[k - length, left], token)
+                last[k, left[fit]], back[k, left[fit]] = token[fit], length[fit]
+                left, cand = left[~fit], self._shorter[cand[~fit]]
+        out, rows, place = [], np.arange(len(name)), size
+        while len(rows):
+            out.append((name[rows], last[place, rows]))
+            place = place - back[place, rows]
+            rows, place = rows[place > 0], place[place > 0]
+        return out
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of many texts at once, the same ids as ``encode``."""
+        plain = [bool(self.by_word and t) and "  " not in t and BLANK not in t and t[0] != " " and t[-1] != " " for t in texts]
+        words = pc.split_pattern(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        starts, known = self.encode_words(coded.dictionary)
+        listed = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(known, pa.int32()))
+        ids = listed.take(coded.indices).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.diff(starts)[coded.indices.to_numpy()])])[words.offsets.to_numpy()]
+        if all(plain):
+            return ends, ids
+        parts, counts, at = [], [], 0
+        for t, p in zip(texts, plain, strict=True):
+            if p:
+                parts.append(ids[ends[at] : ends[at + 1]])
+                at += 1
+            else:
+                parts.append(np.array(self.encode(t), np.int32))
+            counts.append(len(parts[-1]))
+        return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.concatenate([*parts, np.empty(0, np.int32)])
+
     def _merged(self, text: str) -> list[str]:
         """The merge procedure itself, for the short texts of compatibility tests: best score first, leftmost of equals."""
         symbols = list(text)
@@ -146,15 +310,85 @@ class PieceModel:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
+    def _spines(self) -> None:
+        """For quick compatibility tests: each piece's order of merging and the parts that its last merge joins.
+
+        A piece is plain if no other has its score and its parts are plain and merged before their whole; tests of others run the
+        merge procedure.
+        """
+        self._alone = {p: self._merged(p) == [p] for p in self.id}
+        self._split = {p: halves for p in self.id if len(p) > 1 and (halves := self._last_merge(p))}
+        self._time = {p: -s if len(p) > 1 else float("-inf") for p, s in self.score.items()}
+        times = Counter(self._time.values())
+        self._tied = {p for p, t in self._time.items() if len(p) > 1 and times[t] > 1}
+        self._plain: set[str] = set()
+        for p in sorted(self.id, key=len):
+            parts = self._split.get(p, ())
+            if len(p) == 1 or (self._alone[p] and p not in self._tied and parts and all((q in self._plain or len(q) == 1) and self._time.get(q, float("-inf")) < self._time[p] for q in parts)):
+                self._plain.add(p)
+        self._rises: dict[tuple[str, int], list[tuple[str, float]]] = {}
+
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the merge procedure joins last."""
+        symbols = list(piece)
+        while len(symbols) > 2:
+            best, at = None, -1
+            for i in range(len(symbols) - 1):
+                s = self.score.get(symbols[i] + symbols[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                return None
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return (symbols[0], symbols[1]) if len(symbols) == 2 else None
+
+    def _rise(self, name: str, side: int) -> list[tuple[str, float]]:
+        """What stands at one side (0: left, 1: right) of a piece while it is merged, with the order in which it comes up."""
+        key = (name, side)
+        if key not in self._rises:
+            out, p = [], name
+            while len(p) > 1:
+                out.append((p, self._time[p]))
+                p = self._split[p][side]
+            self._rises[key] = [(p, float("-inf")), *reversed(out)]
+        return self._rises[key]
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether two tokens side by side encode to themselves; ``left``: an id, ``START`` (right stands alone) or a character outside the vocabulary."""
-        name, own = "" if left == START else self.names[left] if left >= 0 else chr(-2 - left), self.names[right]
-        fit = self._merged(name + own) == ([name, own] if name else [own])
-        if len(self._pairs) >= 600_000:
+        own, name = self.names[right], self.names[left] if left >= 0 else ""
+        fit = self._alone[own] if left < 0 else self._undisturbed(name, own) if name in self._plain and own in self._plain else None
+        if fit is None:
+            fit = self._merged(name + own) == [name, own]
+        if len(self._pairs) >= 200_000:
             self._pairs.clear()
         self._pairs[left * WIDE + right] = fit
         return fit
 
+    def _undisturbed(self, left: str, right: str) -> bool | None:
+        """Whether no merge crosses the border of two plain pieces; None if equal scores leave it open.
+
+        The sides of the border come up in order; two that stand there together merge if that comes before either grows (of
+        equal merges the left one comes first).
+        """
+        xs, ys, i, j, never = self._rise(left, 1), self._rise(right, 0), 0, 0, float("inf")
+        while True:
+            x, begun = xs[i]
+            y, joined = ys[j]
+            x_ends = xs[i + 1][1] if i + 1 < len(xs) else never
+            y_ends = ys[j + 1][1] if j + 1 < len(ys) else never
+            s = self.score.get(x + y)
+            if s is not None:
+                if x + y in self._tied:
+                    return None
+                if (at := max(-s, begun, joined)) < x_ends and at <= y_ends:
+                    return False
+            if x_ends == y_ends == never:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
     def last_tokens(self, chunk: str) -> tuple[list[int], list[int]]:
         """For each prefix, by length from 0, the last token of its encoding and that token's length."""
         n = len(chunk)
@@ -206,20 +440,9 @@ class PieceModel:
             out.append(self._kept(memory, chunk, self.encode_chunk) if ids is None else ids)
         return tuple(chain.from_iterable(out))
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
-        return self._encode_text(BLANK + word)
-
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without begin or end ids; none for null or empty."""
-        if not text:
-            return []
-        if not self.by_word or "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
-            return list(self._encode_text((self.prefix + text).replace(" ", BLANK)))
-        out, memory = [], self._words  # single blanks between words: each word is led by its own blank
-        for word in text.split(" "):
-            ids = memory[0].get(word)
-            out.append(self._kept(memory, word, self._encode_word) if ids is None else ids)
-        return list(chain.from_iterable(out))
+        return list(self._encode_text((self.prefix + text).replace(" ", BLANK))) if text else []
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: control ids vanish, byte ids join to UTF-8 (each byte that does not becomes U+FFFD), one leading blank of a first ordinary piece is dropped."""
@@ -243,6 +466,32 @@ class PieceModel:
         return "".join([*out, _repaired(b"".join(run))])[cut:]
 
 
+    def decode_texts(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """``decode`` of many id sequences at once."""
+        raw = pa.array(self.raw, pa.binary())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), raw.take(pa.array(ids))), b"").to_pylist()
+        kind = np.array(self.kind)[ids]
+        odd = np.concatenate([[0], np.cumsum(kind == CONTROL)])[offsets]
+        out = []
+        for k, b in enumerate(joined):
+            lo, hi = int(offsets[k]), int(offsets[k + 1])
+            text = None
+            if lo < hi and odd[k] == odd[k + 1]:
+                try:
+                    text = b.decode()
+                except UnicodeDecodeError:
+                    pass
+                else:
+                    text = text[1:] if self.prefix and kind[lo] not in (BYTE, UNKNOWN) and self.raw[ids[lo]][:1] == b" " else text
+            out.append(self.decode(ids[lo:hi].tolist()) if text is None else text)
+        return out
+
+    def id_digests(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """SHA-256 of each sequence's decimal ids, joined by commas."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.digits).take(pa.array(ids))), ",")
+        return [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]
+
+
 def _repaired(raw: bytes) -> str:
     out, at = [], 0
     while at < len(raw):
@@ -278,7 +527,7 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
-OUTPUTS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
 def transcode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
@@ -287,7 +536,7 @@ def transcode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     Returns ``id_col`` and the asked ``outputs`` (n_tokens, ids, decoded, ids_sha256, decoded_sha256); one row for each input
     row, repeated rows included.  A null or empty text has no ids and decodes to "".  A null id stays null.  Other columns of
     the input are not read, so their names cannot clash.  No shuffle: the model (about 0.5 MB) is broadcast, rows stream in
-    Arrow batches, and a lost executor repeats only its own tasks.
+    parts bounded by bytes, and a lost executor repeats only its own tasks.
     """
     spark = df.sparkSession
     shipped = spark.sparkContext.broadcast(read_model(spark, model_path))
@@ -296,24 +545,20 @@ def transcode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shipped.value)
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in wanted}
-            for text in batch.column(1):
-                ids = m.encode(text.as_py())
-                for k, put in cols.items():
-                    if k == "n_tokens":
-                        put.append(len(ids))
-                    elif k == "ids":
-                        put.append(ids)
-                    elif k == "decoded":
-                        put.append(m.decode(ids))
-                    elif k == "ids_sha256":
-                        put.append(hashlib.sha256(",".join(map(m.digits.__getitem__, ids)).encode()).hexdigest())
-                    else:
-                        put.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, OUTPUTS[k][1]) for k, v in cols.items())], names=["__id", *wanted])
+            for part in slices(batch, 1):
+                offsets, ids = m.encode_texts([t or "" for t in part.column(1).to_pylist()])
+                decoded = m.decode_texts(offsets, ids) if {"decoded", "decoded_sha256"} & set(wanted) else []
+                make = {
+                    "n_tokens": lambda o=offsets: pa.array(np.diff(o), pa.int64()),
+                    "ids": lambda o=offsets, i=ids: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(i, pa.int32())),
+                    "decoded": lambda d=decoded: pa.array(d, pa.string()),
+                    "ids_sha256": lambda o=offsets, i=ids: pa.array(m.id_digests(o, i), pa.string()),
+                    "decoded_sha256": lambda d=decoded: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in d], pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([part.column(0), *(make[k]() for k in wanted)], names=["__id", *wanted])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"__id {kind}, " + ", ".join(f"{k} {OUTPUTS[k][0]}" for k in wanted)
+    schema = f"__id {kind}, " + ", ".join(f"{k} {OUTPUTS[k]}" for k in wanted)
     out = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
     return out.withColumnRenamed("__id", id_col)
 

@@ -1,5 +1,8 @@
 import hashlib
+import itertools
+import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -55,3 +58,30 @@ def test_small_memory():
     small = PieceModel(open(PATH, "rb").read(), memory=4)
     text = "the cat sat on the mat and the dog sat on the log " * 5
     assert small.encode(text) == THEIRS.encode(text)
+
+
+def test_many_texts_at_once():
+    rng = random.Random(4)
+    alphabet = "abc the in  dé\nüß▁ 漢字\U0001f600\t.,1!?\x00"
+    texts = ["", " ", "a", "x" * 5000, "the" * 300, "a  b", "word " * 2000] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    offsets, ids = OURS.encode_texts(texts)
+    want = THEIRS.encode(texts)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets)] == want
+    assert OURS.decode_texts(offsets, ids) == [THEIRS.decode(x) for x in want]
+    assert OURS.id_digests(offsets, ids)[2] == hashlib.sha256(",".join(map(str, want[2])).encode()).hexdigest()
+    assert [x.tolist() for x in OURS.encode_texts([])] == [[0], []]
+
+
+def test_decode_of_any_ids_at_once():
+    rng = random.Random(5)
+    rows = [[rng.randrange(0, 400 if k % 2 else 32000) for _ in range(rng.randrange(15))] for k in range(500)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    assert OURS.decode_texts(offsets, np.array([i for x in rows for i in x], np.int32)) == [THEIRS.decode(x) for x in rows]
+
+
+def test_compatibility_is_that_of_the_merge_procedure():
+    rng, ids = random.Random(6), list(OURS.id.values())
+    short = [i for i in ids if len(OURS.names[i]) < 4]
+    for n in range(20000):
+        a, b = (rng.choice(ids), rng.choice(ids)) if n % 3 == 0 else (rng.choice(short), rng.choice(short))
+        assert OURS.compatible(a, b) == (OURS._merged(OURS.names[a] + OURS.names[b]) == [OURS.names[a], OURS.names[b]])
