@@ -1,10 +1,12 @@
 """Toxicity with a linear-chain conditional random field.
 
 Document labels become token labels: in a toxic document, a token is toxic if one of its features (the word, its first 4, 5 or 6
-letters) is far likelier in toxic than in clean documents.  A two-state chain is trained on windows of ``WINDOW`` tokens by
-gradient ascent on the conditional likelihood, with forward-backward for the expectations.  Scoring runs forward-backward over
-every window of every text; token marginals aggregate to a document's score through a fitted logistic curve and, where they
-pass 1/2, to offending offsets.
+letters) is far likelier in toxic than in clean documents.  A two-state chain is trained on whole texts by gradient ascent on the
+conditional likelihood, with forward-backward for the expectations.  Scoring runs forward-backward over every whole text; token
+marginals aggregate to a document's score through a fitted logistic curve and, where they pass 1/2, to offending offsets.
+
+What is counted over the labelled sample (feature frequencies, aggregates for the curve) is counted on the executors; the
+driver holds features, the few texts of the chain's fit as numbers, and three numbers a row for the curve.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import held_remainder, materialize, table
+from spanweave.llm.common import held_remainder, materialize, slices, table
+from spanweave.llm.shingles import shingle_set
 
-WINDOW = 64  # tokens in a chain; a text is cut into such chains, all of them scored
-SAMPLE = 4000  # labelled rows of each class that the model is fitted on, at most
-LEXICON = 20_000  # features, at most
-CLEAN_WINDOWS = 6000  # training windows without a toxic token, at most
+SAMPLE = 4000  # labelled rows of each class (about, by a hash of the id) that features and the curve are fitted on
+FIT = 1000  # of them (about) the chain's weights are fitted on, whole texts
+COMMON, ODDS, STRONG = 0.004, 1.5, 2.5  # a feature's least share of toxic rows and log odds; log odds that label a token
+SURE = 2.0  # log odds in standard errors, at least: chance features of long texts stay out
+BLOCK = 64  # tokens that are stepped through together; a matter of speed, chains are whole texts
 HELD_MODULUS, HELD_REMAINDER = 4, 2
 THRESHOLD = 0.3
 
@@ -36,43 +40,97 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
 
 
-def _forward_backward(u: np.ndarray, size: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of state 1, expected transitions (2 x 2 a chain summed) and log partition of chains.
+def lowered(text: str) -> str:
+    """Lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
 
-    ``u``: potential of state 1 over state 0, positions by chains; ``size``: tokens of each chain.
+def forward_backward(u: np.ndarray, size: np.ndarray, trans: np.ndarray, start: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of state 1, expected transitions (2 x 2, all chains) and log partition of chains of any length, exactly.
+
+    ``u``: potentials of state 1 over state 0, chain after chain; ``size``: tokens of each chain.  Chains are cut into blocks whose
+    transfer matrices are found side by side; messages pass from block to block, then through all blocks side by side.
     """
-    steps, n = u.shape
-    e, t, s = np.exp(np.clip(u, -30, 30)), np.exp(trans), np.exp(start)
-    a0, a1, log_z = np.empty((steps, n)), np.empty((steps, n)), np.zeros(n)
-    x0, x1 = np.full(n, s[0]), s[1] * e[0]
-    for k in range(steps):
+    t, s = np.exp(trans), np.exp(start)
+    blocks = -(-size // block)  # of each chain
+    head = np.cumsum(blocks) - blocks
+    n = int(blocks.sum())
+    if not n:
+        return np.empty(0), np.zeros((2, 2)), np.zeros(len(size))
+    at = np.arange(len(u)) - np.repeat(np.cumsum(size) - size, size)
+    col, row = np.repeat(head, size) + at // block, at % block
+    e, on = np.ones((block, n)), np.zeros((block, n), bool)
+    e[row, col], on[row, col] = np.exp(np.clip(u, -30, 30)), True
+    # q: product of D(e) T D(e) ... D(e) over a block, scaled; q[i][j] from state i before to state j at its last token
+    q = [[np.ones(n), np.zeros(n)], [np.zeros(n), e[0].copy()]]
+    grown = np.zeros(n)
+    for k in range(1, block):
+        go = on[k]
+        new = [[x[0] * t[0, 0] + x[1] * t[1, 0], (x[0] * t[0, 1] + x[1] * t[1, 1]) * e[k]] for x in q]
+        z = new[0][0] + new[0][1] + new[1][0] + new[1][1]
+        q = [[np.where(go, new[i][j] / z, q[i][j]) for j in (0, 1)] for i in (0, 1)]
+        grown += np.where(go, np.log(z), 0)
+    # messages into blocks from the left (states of the first token) and from the right (seen from the last token)
+    into, beyond, log_z = np.empty((2, n)), np.ones((2, n)), np.zeros(len(size))
+    live = np.flatnonzero(blocks > 0)
+    into[:, head[live]] = s[:, None]
+    for k in range(int(blocks.max())):
+        live = live[blocks[live] > k]
+        j = head[live] + k
+        a = [into[0, j] * q[0][i][j] + into[1, j] * q[1][i][j] for i in (0, 1)]
+        z = a[0] + a[1]
+        log_z[live] += np.log(z) + grown[j]
+        more = blocks[live] > k + 1
+        for i in (0, 1):
+            into[i, j[more] + 1] = (a[0][more] * t[0, i] + a[1][more] * t[1, i]) / z[more]
+    for k in range(int(blocks.max()) - 1, 0, -1):
+        j = head[blocks > k] + k
+        c = [q[i][0][j] * beyond[0, j] + q[i][1][j] * beyond[1, j] for i in (0, 1)]
+        z = c[0] + c[1]
+        for i in (0, 1):
+            beyond[i, j - 1] = (t[i, 0] * c[0] + t[i, 1] * c[1]) / z
+    # through all blocks side by side
+    a0, a1 = np.empty((block, n)), np.empty((block, n))
+    p, pairs = np.empty((block, n)), np.zeros((2, 2))
+    x0, x1 = into[0], into[1] * e[0]
+    for k in range(block):
         if k:
             x0, x1 = a0[k - 1] * t[0, 0] + a1[k - 1] * t[1, 0], (a0[k - 1] * t[0, 1] + a1[k - 1] * t[1, 1]) * e[k]
         z = x0 + x1
         a0[k], a1[k] = x0 / z, x1 / z
-        log_z += np.where(k < size, np.log(z), 0)
-    p, pairs = np.empty((steps, n)), np.zeros((2, 2))
-    b0 = b1 = np.ones(n)
-    for k in range(steps - 1, -1, -1):
-        if k < steps - 1:
-            on = k + 1 < size
+    last = np.minimum(block, size[np.repeat(np.arange(len(size)), blocks)] - block * (np.arange(n) - np.repeat(head, blocks))) - 1
+    b0, b1 = beyond
+    for k in range(block - 1, -1, -1):
+        if k < block - 1:
+            go = k < last
             f1 = e[k + 1] * b1
-            if on.any():  # expected transitions between k and k + 1
-                w = [[a0[k] * t[0, 0] * b0, a0[k] * t[0, 1] * f1], [a1[k] * t[1, 0] * b0, a1[k] * t[1, 1] * f1]]
-                z = w[0][0] + w[0][1] + w[1][0] + w[1][1]
-                for i in (0, 1):
-                    for j in (0, 1):
-                        pairs[i, j] += (w[i][j] / z)[on].sum()
+            if go.any():  # expected transitions between k and k + 1
+                _add_pairs(pairs, a0[k][go], a1[k][go], t, b0[go], f1[go])
             c0, c1 = t[0, 0] * b0 + t[0, 1] * f1, t[1, 0] * b0 + t[1, 1] * f1
             z = c0 + c1
-            b0, b1 = np.where(on, c0 / z, 1.0), np.where(on, c1 / z, 1.0)
+            b0, b1 = np.where(go, c0 / z, beyond[0]), np.where(go, c1 / z, beyond[1])
         m1 = a1[k] * b1
-        p[k] = np.where(k < size, m1 / (a0[k] * b0 + m1), 0)
-    return p, pairs, log_z
+        p[k] = m1 / (a0[k] * b0 + m1)
+    inner = np.ones(n, bool)
+    inner[head[blocks > 0]] = False
+    j = np.flatnonzero(inner)  # expected transitions over the borders of blocks
+    if len(j):
+        c = [q[i][0][j] * beyond[0, j] + q[i][1][j] * beyond[1, j] for i in (0, 1)]
+        _add_pairs(pairs, a0[block - 1, j - 1], a1[block - 1, j - 1], t, c[0], c[1])
+    return p[row, col], pairs, log_z
+
+
+def _add_pairs(pairs: np.ndarray, a0: np.ndarray, a1: np.ndarray, t: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> None:
+    w = [[a0 * t[0, 0] * r0, a0 * t[0, 1] * r1], [a1 * t[1, 0] * r0, a1 * t[1, 1] * r1]]
+    z = w[0][0] + w[0][1] + w[1][0] + w[1][1]
+    for i in (0, 1):
+        for j in (0, 1):
+            pairs[i, j] += (w[i][j] / z).sum()
 
 
 class ToxicModel:
-    """Weights of the chain and of the document curve; small enough to broadcast (at most ``LEXICON`` features)."""
+    """Weights of the chain and of the document curve; small enough to broadcast (a feature stands in ``COMMON`` of the sample's toxic rows at least)."""
 
     def __init__(self):
         self.weights: dict[str, float] = {}
@@ -84,7 +142,7 @@ class ToxicModel:
         """How much the word speaks for the toxic state."""
         v = self._known.get(word)
         if v is None:
-            if len(self._known) > 300_000:
+            if len(self._known) > 100_000:
                 self._known.clear()
             get = self.weights.get
             v = self._known[word] = self.bias + sum(get(f, 0.0) for f in features(word))
@@ -94,20 +152,10 @@ class ToxicModel:
         """Toxic marginal of each token of each text."""
         known, slow, flat, counts = self._known.get, self.potential, [], []
         for text in texts:
-            words = TOKEN.findall(text.lower())
+            words = TOKEN.findall(lowered(text))
             counts.append(len(words))
             flat.extend([v if (v := known(w)) is not None else slow(w) for w in words])
-        counts = np.array(counts, np.int64)
-        if not flat:
-            return [np.empty(0) for _ in texts]
-        windows = -(-counts // WINDOW)
-        first = np.cumsum(windows) - windows
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        column, row = np.repeat(first, counts) + at // WINDOW, at % WINDOW
-        u = np.zeros((WINDOW, int(windows.sum())))
-        u[row, column] = flat
-        size = np.bincount(column, minlength=u.shape[1])
-        p = _forward_backward(u, size, self.trans, self.start)[0][row, column]
+        p = forward_backward(np.array(flat), np.array(counts, np.int64), self.trans, self.start)[0]
         return np.split(p, np.cumsum(counts)[:-1])
 
     def aggregate(self, p: np.ndarray) -> list[float]:
@@ -122,10 +170,8 @@ class ToxicModel:
         out: list[list[int]] = []
         if not len(p) or p.max() < 0.5:
             return []
-        low, before = text.lower(), False
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        for m, x in zip(TOKEN.finditer(low), p, strict=False):
+        before = False
+        for m, x in zip(TOKEN.finditer(lowered(text)), p, strict=True):
             if x >= 0.5:
                 if before:
                     out[-1][1] = m.end()
@@ -135,106 +181,146 @@ class ToxicModel:
         return [tuple(x) for x in out]
 
 
-def fit(rows: list[tuple[str, int]], prior: tuple[float, float]) -> ToxicModel:
-    """Model of labelled texts; ``prior``: how many rows each class has in all (clean, toxic).
-
-    Without rows of both classes nothing is learned and every score is the smoothed share of toxic rows.
-    """
-    m, rng = ToxicModel(), np.random.Generator(np.random.PCG64(7))
-    m.offset = math.log((prior[1] + 0.5) / (prior[0] + 0.5))
-    rows = list(dict.fromkeys(rows))  # exact copies would make any of their words look toxic
-    total, one = Counter(y for _, y in rows), {}  # one: a single object for equal words
-    if not total[0] or not total[1]:
-        return m
-    docs = [([one.setdefault(w, w) for w in TOKEN.findall(t.lower())], y) for t, y in rows]
-    del one
-    # document frequencies: of toxic documents' features, then only of those that are frequent enough in clean ones
-    df = (Counter(), Counter())
-    for words, y in docs:
-        if y:
-            df[1].update({f for w in set(words) for f in features(w)})
-    least = max(3, 0.004 * total[1])
-    for f in [f for f, n in df[1].items() if n < least]:
-        del df[1][f]
-    for words, y in docs:
-        if not y:
-            df[0].update({f for w in set(words) for f in features(w) if f in df[1]})
-    odds = {f: v for f, n in df[1].items() if (v := math.log((n + 0.5) / (total[1] + 1)) - math.log((df[0][f] + 0.5) / (total[0] + 1))) > 1.5}
-    kept = sorted(odds, key=lambda f: (-odds[f] * math.sqrt(df[1][f]), f))[:LEXICON]
-    index = {f: i for i, f in enumerate(kept)}
-    strong = {f for f in kept if odds[f] > 2.5}
-    # windows with token labels
-    hot, cold = [], []
-    for words, y in docs:
-        for k in range(0, len(words), WINDOW):
-            part = words[k : k + WINDOW]
-            lab = [int(y and any(f in strong for f in features(w))) for w in part]
-            (hot if any(lab) else cold).append((part, lab))
-    if not hot:
-        return m
-    cold = [cold[i] for i in sorted(rng.permutation(len(cold))[:CLEAN_WINDOWS])]
-    del docs
-    chains = hot + cold
-    n, size = len(chains), np.array([len(c[0]) for c in chains])
-    y = np.zeros((WINDOW, n), np.int8)
-    where: list[tuple[int, int, int]] = []
-    for j, (part, lab) in enumerate(chains):
-        y[: len(lab), j] = lab
-        where += [(index[f], i, j) for i, w in enumerate(part) for f in features(w) if f in index]
-    at = np.array(where, np.int64).reshape(-1, 3)
-    on = np.arange(WINDOW)[:, None] < size
-    pairs_seen = np.zeros((2, 2))
-    both = on[1:]
-    for a in (0, 1):
-        for b in (0, 1):
-            pairs_seen[a, b] = ((y[:-1] == a) & (y[1:] == b) & both).sum()
-    first_seen = np.bincount(y[0], minlength=2).astype(float)
-    seen = np.bincount(at[:, 0], y[at[:, 1], at[:, 2]], len(kept))
-    theta = np.zeros(len(kept) + 7)  # features, bias, 2 x 2 transitions, 2 starts
-    theta[len(kept)] = -4.0
-    k, mean, var = len(kept), np.zeros(len(kept) + 7), np.zeros(len(kept) + 7)
-    for step in range(1, 81):
-        u = np.full((WINDOW, n), theta[k])
-        np.add.at(u, (at[:, 1], at[:, 2]), theta[at[:, 0]])
-        p, pairs, _ = _forward_backward(u, size, theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
-        grad = np.empty_like(theta)
-        grad[:k] = seen - np.bincount(at[:, 0], p[at[:, 1], at[:, 2]], k)
-        grad[k] = (y * on).sum() - p.sum()
-        grad[k + 1 : k + 5] = (pairs_seen - pairs).ravel()
-        grad[k + 5 :] = first_seen - np.array([(1 - p[0]).sum(), p[0].sum()])
-        grad = grad / n - 1e-4 * theta
+def choose_features(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[str, float]:
+    """Log odds of the features that speak for toxic rows; ``counts``: (feature, clean rows, toxic rows)."""
+    odds = {f: (math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1)), math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))) for f, n0, n1 in counts if n1 >= max(3, COMMON * toxic)}
+    return {f: v for f, (v, error) in sorted(odds.items()) if v > ODDS and v > SURE * error}
+
+
+def numbered(text: str, y: int, index: dict[str, int], strong: set[str]) -> tuple[int, list[int], list[int], list[int]]:
+    """A text as the chain's fit reads it: tokens, (place, feature) pairs, and the places of tokens labelled toxic."""
+    words, places, feats, hot = TOKEN.findall(lowered(text)), [], [], []
+    for i, w in enumerate(words):
+        own = features(w)
+        for f in own:
+            if f in index:
+                places.append(i)
+                feats.append(index[f])
+        if y and any(f in strong for f in own):
+            hot.append(i)
+    return len(words), places, feats, hot
+
+
+def fit_chain(m: ToxicModel, index: dict[str, int], chains: list[tuple[int, list[int], list[int], list[int]]], steps: int = 80) -> None:
+    """Weights of the chain by gradient ascent (Adam) on ``chains`` of ``numbered``; nothing changes if no token is toxic."""
+    chains = [c for c in chains if c[0]]
+    if not any(c[3] for c in chains):
+        return
+    size = np.array([c[0] for c in chains])
+    first = np.cumsum(size) - size
+    total, k = int(size.sum()), len(index)
+    at = np.concatenate([first[j] + np.array(c[1], np.int64) for j, c in enumerate(chains)])
+    feat = np.concatenate([np.array(c[2], np.int64) for c in chains])
+    y = np.zeros(total, np.int64)
+    y[np.concatenate([first[j] + np.array(c[3], np.int64) for j, c in enumerate(chains)])] = 1
+    inner = np.ones(total, bool)
+    inner[first] = False
+    moves = np.bincount(2 * y[:-1][inner[1:]] + y[1:][inner[1:]], minlength=4)
+    seen = np.concatenate([np.bincount(feat, y[at], k), [y.sum()], moves, np.bincount(y[first], minlength=2)]).astype(float)
+    theta = np.zeros(k + 7)  # features, bias, 2 x 2 transitions, 2 starts
+    theta[k] = -4.0
+    mean, var, rows = np.zeros(k + 7), np.zeros(k + 7), total / BLOCK
+    for step in range(1, steps + 1):
+        u = theta[k] + np.bincount(at, theta[feat], total)
+        p, pairs, _ = forward_backward(u, size, theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
+        expected = np.concatenate([np.bincount(feat, p[at], k), [p.sum()], pairs.ravel(), [(1 - p[first]).sum(), p[first].sum()]])
+        grad = (seen - expected) / rows - 1e-4 * theta
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         theta += 0.25 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
     m.weights = {f: float(theta[i]) for f, i in index.items()}
     m.bias, m.trans, m.start = float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :]
-    # document curve: logistic regression on the aggregates, classes weighted to their shares
-    x = np.array([m.aggregate(p) for lo in range(0, len(rows), 500) for p in m.marginals([t for t, _ in rows[lo : lo + 500]])])
-    x, label = np.c_[x, np.ones(len(x))], np.array([y for _, y in rows], float)
-    weight = np.where(label == 1, prior[1] / total[1], prior[0] / total[0])
+
+
+def fit_curve(m: ToxicModel, aggregates: list[list[float]], labels: list[int], prior: tuple[float, float]) -> None:
+    """Document curve: logistic regression on the aggregates, classes weighted to their shares."""
+    x, label = np.c_[np.array(aggregates), np.ones(len(labels))], np.array(labels, float)
+    weight = np.where(label == 1, prior[1] / label.sum(), prior[0] / (1 - label).sum())
     weight, w = weight / weight.mean(), np.array([0.0, 0.0, 0.0, m.offset])
     for _ in range(25):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(4)
         w = w + np.linalg.solve(h, x.T @ (weight * (label - q)) - 0.05 * w)
     m.curve, m.offset = w[:3], float(w[3])
-    return m
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, clean rows, toxic rows) of rows (t, y), added up within bounded numbers of features."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> pa.RecordBatch:
+        names = list(seen[0].keys() | seen[1].keys())
+        rows = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in seen)], names=["f", "n0", "n1"])
+        for c in seen:
+            c.clear()
+        return rows
+
+    for batch in batches:
+        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            seen[y].update({f for w in set(TOKEN.findall(lowered(text.as_py()))) for f in features(w)})
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield out()
+    if seen[0] or seen[1]:
+        yield out()
+
+
+def _with_likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, y, like) of rows (i, y, t); ``like``: least hash of the text's 5-word shingles, which near copies mostly share."""
+    for batch in batches:
+        for part in slices(batch, 2):
+            least = [int(h[0].view(np.int64)) if len(h := shingle_set(t.encode())) else 0 for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(least, pa.int64())], names=["t", "y", "like"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """Fit on at most ``SAMPLE`` labelled rows of each class, those with the least hash of their id, never held-out ones.
+    """Fit on labelled rows that are not held out: about ``SAMPLE`` of each class, those with small hashes of their ids, all if there are fewer.
 
-    Null labels and ids are not used; of contradicting labels the larger counts.
+    Null labels and ids are not used; of contradicting labels the larger counts; of several texts of an id the least is taken,
+    and one of texts with the same least shingle hash (copies would make any of their words look toxic); null texts are empty.  Without rows of both classes nothing is learned
+    and every score is the smoothed share of toxic rows.
     """
+    m, spark = ToxicModel(), docs.sparkSession
     own = labels.where(held_remainder(F.col(id_col), HELD_MODULUS) != HELD_REMAINDER).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    own = materialize(own, "labels")
     counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
-    picked = [r for y in (0, 1) for r in own.where(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(11)), "i").limit(SAMPLE).collect()]
-    if not picked:
-        return fit([], (0, 0))
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(picked, own.schema)  # at most 2 * SAMPLE rows
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", F.coalesce("t", F.lit("")).alias("t"), "y")
-    rows = [(r.t, r.y) for r in materialize(found, "fit").orderBy("i", "t").toLocalIterator()]
-    return fit(rows, (counts.get(0, 0), counts.get(1, 0)))
+    prior = (counts.get(0, 0), counts.get(1, 0))
+    m.offset = math.log((prior[1] + 0.5) / (prior[0] + 0.5))
+    if not all(prior):
+        return m
+    small = lambda key, salt, share: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 32)) < F.lit(int(min(1.0, share) * (1 << 32)))
+    ids = own.where(F.when(F.col("y") == 1, small("i", 11, SAMPLE / prior[1])).otherwise(small("i", 11, SAMPLE / prior[0])))  # about 2 * SAMPLE rows
+    found = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    kept = found.mapInArrow(_with_likeness, "t string, y int, like long").groupBy("y", "like").agg(F.min("t").alias("t"))
+    rows = materialize(kept.select("t", "y"), "fit")
+    have = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(have) < 2:
+        return m
+    sums = rows.mapInArrow(_feature_rows, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    floor = F.log((F.col("n1") + 0.5) / (have[1] + 1)) - F.log((F.col("n0") + 0.5) / (have[0] + 1)) > ODDS
+    odds = choose_features([tuple(r) for r in sums.where((F.col("n1") >= max(3, COMMON * have[1])) & floor).collect()], have[0], have[1])
+    index, strong = {f: i for i, f in enumerate(odds)}, {f for f, v in odds.items() if v > STRONG}
+    shipped = spark.sparkContext.broadcast((index, strong))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sure = shipped.value
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                n, *lists = numbered(text.as_py(), y, known, sure)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x], pa.list_(pa.int32())) for x in lists)], names=["n", "places", "feats", "hot"])
+
+    some = rows.where(F.when(F.col("y") == 1, small("t", 5, FIT / have[1])).otherwise(small("t", 5, FIT / have[0])))  # about 2 * FIT rows
+    chains = sorted(tuple(r) for r in some.mapInArrow(number, "n int, places array<int>, feats array<int>, hot array<int>").collect())
+    fit_chain(m, index, chains)
+    model = spark.sparkContext.broadcast(m)
+
+    def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                got = [model.value.aggregate(p) for p in model.value.marginals(part.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
+
+    seen = sorted((r["y"], r["x"]) for r in rows.mapInArrow(aggregate, "y int, x array<double>").collect())
+    fit_curve(m, [x for _, x in seen], [y for y, _ in seen], prior)
+    return m
 
 
 def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -248,8 +334,7 @@ def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ps = m.marginals(texts)
                 cols = [part.column(0), pa.array([m.score(p) for p in ps], pa.float64())]
@@ -269,8 +354,7 @@ def without_toxic(df: DataFrame, model: ToxicModel, threshold: float = THRESHOLD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, place):
                 clean = [m.score(p) < threshold for p in m.marginals([t or "" for t in part.column(place).to_pylist()])]
                 yield part.filter(pa.array(clean, pa.bool_()))
 
@@ -278,11 +362,11 @@ def without_toxic(df: DataFrame, model: ToxicModel, threshold: float = THRESHOLD
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of the rows that are not held out."""
+    """Scores of all documents by a model of the rows that are not held out, and the offsets of offending text."""
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")), spans=True)
     held = F.coalesce(held_remainder(F.col("doc_id"), HELD_MODULUS) == HELD_REMAINDER, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}
