@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import materialize, table
+from spanweave.llm.common import materialize, slices, table
 from spanweave.llm.keyfilter import key_filter
 from spanweave.llm.shingles import mix
 
@@ -70,8 +70,7 @@ def within_one_edit(x: np.ndarray, y: np.ndarray) -> bool:
 def _lines(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 doc, no, key, halves = [], [], [], []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     for k, line in enumerate((t.as_py() or b"").split(b"\n")):
@@ -90,8 +89,7 @@ def _passed(df: DataFrame, shipped) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 where, keys = [], []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     for k, line in enumerate((t.as_py() or b"").split(b"\n")):
@@ -115,8 +113,7 @@ def _passed(df: DataFrame, shipped) -> DataFrame:
 def _variants(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 2):
                 v, place, count = [], [], []
                 for h in part.column(2):
                     gone, whole = deletion_keys(np.frombuffer(h.as_py(), np.uint64))
@@ -177,8 +174,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 out, counts, cut, sha = [], [], [], []
                 for t, nos in zip(part.column(1), part.column(2).to_pylist(), strict=True):
                     t, drop = t.as_py(), set(nos or ())
@@ -208,8 +204,7 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, text):
                 nos = part.column(part.num_columns - 1)
                 texts, stays = part.column(text).to_pylist(), np.ones(part.num_rows, bool)
                 for i in np.flatnonzero(nos.is_valid().to_numpy(zero_copy_only=False)):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import materialize, table
+from spanweave.llm.common import materialize, slices, table
 from spanweave.llm.components import connected_components
 from spanweave.llm.shingles import mix, shingle_set
 
@@ -71,8 +71,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 def _profiles(df: DataFrame, id_col: str, text_col: str, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, rows=512):
                 sets = [shingle_set(t.as_py()) for t in part.column(1)]
                 sig = signatures(sets, bands * ROWS)
                 key = np.zeros((len(sets), bands), np.uint64)
@@ -135,8 +134,7 @@ def _hashes(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 2, rows=512):
                 sets = [shingle_set(t.as_py()).tobytes() for t in part.column(2)]
                 own = [i for i, (s, k) in enumerate(zip(sets, part.column(1), strict=True)) if xxhash.xxh3_128_digest(s) == k.as_py()]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i] for i in own], pa.binary())], names=["id", "hashes"])
