@@ -76,7 +76,7 @@ SELECT point_id, round(35 + t * 3e-2, 6) AS p_lat, round(-83 + t * 4e-1, 6) AS p
     "j2_boundary_nodes": f"{A}, e AS ({BORDER}), f AS (SELECT src, arg_min(dst, edge_id) AS dst FROM e WHERE ra IS NOT NULL AND (rb IS NULL OR ra <> rb) GROUP BY src) SELECT node_id FROM assignment WHERE region_idx IS NULL UNION SELECT src FROM f UNION SELECT dst FROM f",
     "j4_entry_points": f"{G}, i AS (SELECT node_id FROM nodes WHERE {INSIDE}) SELECT DISTINCT src AS node_id FROM edges WHERE src IN (FROM i) AND dst NOT IN (FROM i)",
     "j5_border_nodes": f"{A}, e AS ({BORDER}) SELECT src AS node_id, CAST(ra AS BIGINT) AS region_idx FROM e WHERE ra <> rb UNION SELECT dst, rb FROM e WHERE ra <> rb",
-    "j6_nearest_node": f"{A}, d AS (SELECT point_id, node_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS m FROM points p, nodes n WHERE point_id % 5 = 0) SELECT point_id, arg_min(node_id, (m, node_id)) AS node_id, round(min(m), 6) AS distance_m FROM d GROUP BY 1",
+    "j6_nearest_node": f"{A}, d AS (SELECT point_id, node_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS m FROM points p, nodes n) SELECT point_id, arg_min(node_id, (m, node_id)) AS node_id, round(min(m), 6) AS distance_m FROM d GROUP BY 1",
     "a1_border_edges": f"WITH t AS ({plain(TRADE)}), e AS (SELECT t.*, x.n_regionkey AS ra, y.n_regionkey AS rb FROM t JOIN nation x ON x.n_nationkey = src JOIN nation y ON y.n_nationkey = dst) SELECT CAST(least(ra, rb) AS BIGINT) AS region_a, CAST(greatest(ra, rb) AS BIGINT) AS region_b, count(*) AS edge_count, sum(weight) AS total_weight, min(weight) AS min_weight, max(weight) AS max_weight FROM e WHERE ra <> rb GROUP BY 1, 2",
     "a1_border_totals": f"{A}, e AS ({BORDER}) SELECT count(DISTINCT CASE WHEN ra <> rb THEN least(ra, rb) * 100 + greatest(ra, rb) END) AS connected_pairs, count(*) FILTER (ra <> rb) AS border_edges, count(*) FILTER ((ra IS NULL) <> (rb IS NULL)) AS unassigned_edges FROM e",
     "a2_coarsen": f"{A}, e AS ({BORDER}), i AS (SELECT ra AS r, count(*) AS n FROM e WHERE ra = rb GROUP BY 1), o AS (SELECT region_idx AS r, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon FROM assignment JOIN nodes USING (node_id) GROUP BY 1) SELECT k AS node_id, coalesce(o.n, 0) AS node_count, coalesce(i.n, 0) AS internal_edges, round(lat, 6) AS lat, round(lon, 6) AS lon FROM range(4) t(k) LEFT JOIN o ON o.r = k LEFT JOIN i ON i.r = k",
@@ -94,12 +94,13 @@ SELECT run, round(auc, 6) AS auc_raw, round(auc / (m + 1), 6) AS auc_norm, round
     "g1_sssp_by_joins": f"WITH RECURSIVE trade AS ({plain(TRADE)}), {sssp_sql('SELECT 0::BIGINT UNION ALL SELECT 7::BIGINT', 'trade')} SELECT s AS source, v AS node_id, d AS dist FROM r",
     "g2_distances": f"{A}, {sssp_sql('SELECT DISTINCT src FROM od')} SELECT od_id, d AS dist FROM od LEFT JOIN r ON s = src AND v = dst",
     "g3_paths": f"{A}, {sssp_sql('SELECT DISTINCT src FROM od')} SELECT od_id, d AS dist, CASE WHEN d IS NOT NULL THEN src END AS first, CASE WHEN d IS NOT NULL THEN dst END AS last FROM od LEFT JOIN r ON s = src AND v = dst",
-    "g8_distance_matrix": f"{A}, p AS (SELECT node_id FROM nodes WHERE node_id % 97 = 0 AND node_id < 1000), {sssp_sql('SELECT node_id FROM p')} SELECT a.node_id AS origin, b.node_id AS dest, d AS dist FROM p a, p b LEFT JOIN r ON s = a.node_id AND v = b.node_id",
-    "g9_snapped_distance": f"""{A}, t AS (SELECT a.edge_id AS od_id, a.src AS a1, a.dst AS a2, a.weight AS aw, b.src AS b1, b.dst AS b2, b.weight AS bw FROM edges a JOIN edges b ON b.edge_id = a.edge_id + 7 WHERE a.edge_id % 101 = 0 AND a.edge_id < 2000),
+    "g8_distance_matrix": f"{A}, p AS (SELECT node_id FROM nodes WHERE node_id IN (SELECT src FROM od)), h AS (SELECT node_id FROM nodes WHERE node_id IN (SELECT n_nationkey * 5 + 1 FROM nation)), {sssp_sql('SELECT node_id FROM p')} SELECT a.node_id AS origin, b.node_id AS dest, d AS dist FROM p a CROSS JOIN h b LEFT JOIN r ON s = a.node_id AND v = b.node_id",
+    "g9_snapped_distance": f"""{A}, o AS (SELECT src AS u, min({{'v': dst, 'w': weight}}) AS e FROM edges GROUP BY 1),
+t AS (SELECT od_id, a.u AS a1, a.e.v AS a2, a.e.w AS aw, b.u AS b1, b.e.v AS b2, b.e.w AS bw FROM od JOIN o a ON a.u = src JOIN o b ON b.u = dst),
 f AS (SELECT od_id, a1 AS s, 25e-2 * aw AS x, b1 AS t, 6e-1 * bw AS y FROM t UNION ALL SELECT od_id, a1, 25e-2 * aw, b2, 4e-1 * bw FROM t UNION ALL SELECT od_id, a2, 75e-2 * aw, b1, 6e-1 * bw FROM t UNION ALL SELECT od_id, a2, 75e-2 * aw, b2, 4e-1 * bw FROM t), {sssp_sql('SELECT DISTINCT s FROM f')}
 SELECT od_id, round(min(d + x + y), 6) AS dist FROM f JOIN r ON r.s = f.s AND r.v = f.t GROUP BY 1""",
     "g11_blocked_distance": f"{A}, open AS (SELECT * FROM edges WHERE src % 7 <> 0), {sssp_sql('SELECT DISTINCT src FROM od', 'open')} SELECT od_id, d AS dist FROM od LEFT JOIN r ON s = src AND v = dst",
-    "g16_alt_bound": f"{A}, {sssp_sql('SELECT 0::BIGINT UNION ALL SELECT 60::BIGINT')} SELECT od_id, max(abs(a.d - b.d)) AS bound FROM od JOIN r a ON a.v = src JOIN r b ON b.v = dst AND a.s = b.s GROUP BY 1",
+    "g16_alt_bound": f"{A}, {sssp_sql('SELECT 0::BIGINT UNION ALL SELECT 60::BIGINT')} SELECT od_id, coalesce(max(abs(a.d - b.d)), 0) AS bound FROM od LEFT JOIN (r a JOIN r b ON a.s = b.s) ON a.v = src AND b.v = dst GROUP BY 1",
     "r13_shortest_path_edges": f"{G}, {sssp_sql('SELECT 0::BIGINT')} SELECT s AS source, edge_id FROM edges JOIN r a ON a.v = src JOIN (SELECT v, d AS e FROM r) b ON b.v = dst WHERE abs(d + weight - e) < 1e-6 * greatest(1, d, e)",
     "p7_reduced_graph": f"""{A}, c(region_idx, central) AS (VALUES (0, 55::BIGINT), (1, 68), (2, 80), (3, 90)), e AS ({BORDER}), x AS (SELECT * FROM e WHERE ra <> rb), b AS (SELECT src AS node_id, ra AS region_idx FROM x UNION SELECT dst, rb FROM x), {sssp_sql('SELECT central FROM c')},
 k AS (SELECT central, node_id, d FROM b JOIN c USING (region_idx) JOIN r ON s = central AND v = node_id WHERE central <> node_id)

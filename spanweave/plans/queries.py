@@ -40,8 +40,8 @@ def assigned(spark, sf):
     return g, regions.assign_regions(g.nodes, d.strips(spark))
 
 
-def od50(spark, sf) -> DataFrame:
-    return d.sql(spark, sf, d.OD)
+def trips(spark, sf) -> DataFrame:
+    return d.sql(spark, sf, d.TRIPS)
 
 
 def pairs(spark, sf) -> DataFrame:
@@ -327,7 +327,7 @@ def j5_border_nodes(spark, sf):
 
 @query
 def j6_nearest_node(spark, sf):
-    return snapping.nearest_node(points(spark, sf).where("point_id % 5 = 0"), grid(spark, sf).nodes)
+    return snapping.nearest_node(points(spark, sf), grid(spark, sf).nodes)
 
 
 @query
@@ -428,33 +428,38 @@ def g1_sssp_by_joins(spark, sf):
 
 @query
 def g2_distances(spark, sf):
-    return paths.distances(grid(spark, sf), od50(spark, sf))
+    return paths.distances(grid(spark, sf), trips(spark, sf))
 
 
 @query
 def g3_paths(spark, sf):
-    return paths.paths(grid(spark, sf), od50(spark, sf)).select("od_id", "dist", F.get("path", F.lit(0)).alias("first"), F.element_at("path", -1).alias("last"))
+    return paths.paths(grid(spark, sf), trips(spark, sf)).select("od_id", "dist", F.get("path", F.lit(0)).alias("first"), F.element_at("path", -1).alias("last"))
 
 
 @query
 def g8_distance_matrix(spark, sf):
-    n = grid(spark, sf).nodes.where("node_id % 97 = 0 and node_id < 1000").select("node_id")
-    return paths.distance_matrix(grid(spark, sf), n, n)
+    """From the place of every supplier to the place of every nation."""
+    t = trips(spark, sf)
+    n = grid(spark, sf).nodes.select("node_id")
+    hubs = spark.read.parquet(f"{sf}/nation.parquet").select((F.col("n_nationkey").cast("long") * 5 + 1).alias("node_id"))
+    return paths.distance_matrix(grid(spark, sf), n.join(t, n.node_id == t.src, "left_semi"), n.join(hubs, "node_id", "left_semi"))
 
 
 @query
 def g9_snapped_distance(spark, sf):
+    """A trip of every supplier between places on two edges."""
     g = grid(spark, sf)
     e = g.edges.select("edge_id", "src", "dst", "weight")
-    a = e.where("edge_id % 101 = 0").select(F.col("edge_id").alias("od_id"), *[F.col(c).alias(f"a_{c}") for c in ("src", "dst", "weight")], F.lit(0.25).alias("a_t"))
-    b = e.where("edge_id % 101 = 7").select((F.col("edge_id") - 7).alias("od_id"), *[F.col(c).alias(f"b_{c}") for c in ("src", "dst", "weight")], F.lit(0.6).alias("b_t"))
-    return paths.distances_snapped(g, a.join(b, "od_id").where("od_id < 2000"))
+    t = trips(spark, sf)
+    one = e.groupBy("src").agg(F.min(F.struct("dst", "weight")).alias("e"))
+    end = lambda p, at, share: t.join(one, t[at] == one.src).select("od_id", F.col("e.dst").alias(f"{p}_dst"), one.src.alias(f"{p}_src"), F.col("e.weight").alias(f"{p}_weight"), F.lit(share).alias(f"{p}_t"))
+    return paths.distances_snapped(g, end("a", "src", 0.25).join(end("b", "dst", 0.6), "od_id"))
 
 
 @query
 def g11_blocked_distance(spark, sf):
     g = grid(spark, sf)
-    return paths.distances_blocked(g, od50(spark, sf), g.edges.where("src % 7 = 0").select("src", "dst"))
+    return paths.distances_blocked(g, trips(spark, sf), g.edges.where("src % 7 = 0").select("src", "dst"))
 
 
 @query
@@ -466,7 +471,7 @@ def g15_landmarks(spark, sf):
 def g16_alt_bound(spark, sf):
     g = grid(spark, sf)
     s = paths.shortest_paths(g, sources(spark, 0, 60)).select(F.col("source").alias("landmark"), "node_id", F.col("dist").alias("d_from"), F.col("dist").alias("d_to"))
-    return paths.alt_bound(od50(spark, sf), s)
+    return paths.alt_bound(trips(spark, sf), s)
 
 
 @query

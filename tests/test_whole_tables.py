@@ -41,3 +41,16 @@ def test_betweenness_of_the_whole_grid(spark):
     g = queries.grid(spark, D)
     assert queries.QUERIES["c1_edge_betweenness"](spark, D).count() == g.edges.count()
     assert queries.QUERIES["c1_node_betweenness"](spark, D).count() == g.nodes.count()
+
+
+@pytest.mark.parametrize("name", ["g2_distances", "g3_paths", "g9_snapped_distance", "g11_blocked_distance", "g16_alt_bound"])
+def test_every_supplier_makes_a_trip(spark, name):
+    wanted = {r.od_id for r in queries.trips(spark, D).collect()}
+    n = queries.grid(spark, D).nodes.count()
+    assert wanted == {r.s_suppkey for r in spark.read.parquet(f"{D}/supplier.parquet").collect() if r.s_suppkey * 7 % n != (r.s_suppkey * 13 + 5) % n}
+    got = {r.od_id for r in queries.QUERIES[name](spark, D).collect()}
+    assert got <= wanted and (name == "g9_snapped_distance" or got == wanted)
+
+
+def test_every_point_has_a_nearest_node(spark):
+    assert queries.QUERIES["j6_nearest_node"](spark, D).count() == queries.points(spark, D).count()
