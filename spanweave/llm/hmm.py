@@ -1,10 +1,11 @@
 """Language-model scoring with a hidden Markov model trained by Baum-Welch.
 
-Tokens are words and one end a text.  The commonest training words, at most ``HOT``, have emissions of their own in each state; all others
-share one rare symbol, within which a word has its add-one share.  So the model is a proper distribution over texts of known
-and unknown words.  Start: expectation-maximization on a bounded sample.  Then each of ``PASSES`` passes runs forward-backward
-over all training texts on the executors (chains of ``CHAIN`` tokens); expected counts are summed across partitions, in slices of
-the vocabulary, and make the next model.  Scoring runs the scaled forward recursion over every whole text, exactly.
+Tokens are words and one end a text.  The commonest training words, at most ``HOT`` (a parameter), have emissions of their own in
+each state; all others share one rare symbol, within which a word has its add-one share.  So the model is a proper distribution
+over texts of known and unknown words.  Training: a pass in ``SHARDS`` steps, each over another share of all training texts, then
+``PASSES`` passes over all of them.  Each step runs forward-backward over whole texts on the executors; expected counts are
+summed across partitions, in slices of the vocabulary, and make the next model.  Scoring runs the scaled forward recursion over
+every whole text, exactly.  Long texts are cut into blocks that messages pass through, which changes no result.
 
 Counts of all words stay distributed: only the hot ones are broadcast; rare words of the texts meet their counts in a join.
 """
@@ -17,24 +18,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import held_remainder, materialize, table
+from spanweave.llm.common import held_remainder, materialize, slices, table
 
 STATES = 6
 HOT = 40_000  # words with emissions of their own
-LONGEST = 100  # bytes of such a word
-CHAIN = 256
-SAMPLE = 1500  # texts for the start
-START_STEPS, PASSES = 12, 2
+BLOCK = 512  # tokens; longer texts are stepped through in blocks side by side
+SHARDS, PASSES = 6, 2
+LONG_WORD = 64  # bytes; longer words go by a 128-bit hash
 PRIOR = 200.0  # pseudo-tokens a state has of the unigram distribution
 SLICE = 2000
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+    """Words, A-Z lower-cased; a very long one is a blank and its hash, so that no key is long."""
+    words = (text or b"").lower().split()
+    return words if not words or len(max(words, key=len)) <= LONG_WORD else [w if len(w) <= LONG_WORD else b" " + xxhash.xxh3_128_digest(w) for w in words]
+
+
+def _by_step(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the rows, longest first; how many are active at each step; their symbols, step after step in that order)."""
+    size = np.array([len(r) for r in rows], np.int64)
+    order = np.argsort(-size, kind="stable")
+    size, flat = size[order], np.concatenate([rows[i] for i in order]) if len(rows) else np.empty(0, np.int64)
+    step = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    kind = np.int16 if len(size) and size[0] < 1 << 15 else np.int64  # narrow numbers sort faster
+    return order, np.bincount(step), flat[np.argsort(step.astype(kind), kind="stable")]
+
+
+def _blocks(text: np.ndarray) -> list[np.ndarray]:
+    return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
 class HiddenMarkov:
@@ -49,61 +66,114 @@ class HiddenMarkov:
         emit = unigram[:, None] * np.exp(rng.normal(0, 0.7, (len(unigram), states)))
         return cls(np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)) * (1 - np.eye(states)) + np.eye(states) * (0.9 if states > 1 else 1.0), emit / emit.sum(0))
 
+    def _transfer(self, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each block the scaled products of emissions and transitions from its first to its last token (state by state), and the logs of their scales."""
+        n, states = len(blocks), len(self.start)
+        order, active, flat = _by_step(blocks)
+        seen, at = self.emit[flat], n
+        q = np.zeros((n, states, states))
+        q[:, range(states), range(states)] = seen[:n]
+        logs = np.zeros(n)
+        for m in active[1:].tolist():
+            new = (q[:m].reshape(-1, states) @ self.trans).reshape(m, states, states) * seen[at : at + m, None]
+            z = new.sum((1, 2))
+            q[:m], logs[:m], at = new / z[:, None, None], logs[:m] + np.log(z), at + m
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        return q[back], logs[back]
+
     def log_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each symbol sequence: all texts step together, longest first, so the active ones are a prefix."""
-        size = np.array([len(t) for t in texts], np.int64)
-        order = np.argsort(-size, kind="stable")
-        size, out = size[order], np.zeros(len(texts))
-        flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.empty(0, np.int64)
-        first = np.cumsum(size) - size
-        a = np.repeat(self.start[None], len(texts), 0)
-        n = len(texts)
-        for k in range(int(size[0]) if len(size) else 0):
-            while n and size[n - 1] <= k:
-                n -= 1
-            a = (a[:n] @ self.trans if k else a[:n]) * self.emit[flat[first[:n] + k]]
+        """Natural log probability of each symbol sequence: texts step together, longest first, so the active ones are a prefix; blocks of long ones side by side."""
+        result = np.empty(len(texts))
+        short = [i for i, t in enumerate(texts) if len(t) <= BLOCK]
+        result[short] = self._stepped([texts[i] for i in short])
+        long = [(i, _blocks(t)) for i, t in enumerate(texts) if len(t) > BLOCK]
+        q_all, scales = self._transfer([b for _, own in long for b in own]) if long else ((), ())
+        at = 0
+        for i, own in long:
+            a, total = self.start, 0.0
+            at += len(own)
+            for q, scale in zip(q_all[at - len(own) : at], scales[at - len(own) : at], strict=True):
+                a = a @ q
+                total += scale + math.log(a.sum())
+                a = (a / a.sum()) @ self.trans
+            result[i] = total
+        return result
+
+    def _stepped(self, texts: list[np.ndarray]) -> np.ndarray:
+        order, active, flat = _by_step(texts)
+        out, at, a = np.zeros(len(texts)), 0, np.repeat(self.start[None], len(texts), 0)
+        for k, n in enumerate(active.tolist()):
+            a = (a[:n] @ self.trans if k else a[:n]) * self.emit[flat[at : at + n]]
             z = a.sum(1)
             out[:n] += np.log(z)
             a /= z[:, None]
+            at += n
         result = np.empty_like(out)
         result[order] = out
         return result
 
-    def expected(self, chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected start, transition and emission counts of the chains (scaled forward-backward)."""
+    def _cut(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of the texts, the message into each and from beyond it, which of them begin a text, and expected transitions over their borders."""
+        states, moves = len(self.start), np.zeros((len(self.start),) * 2)
+        blocks: list[np.ndarray] = []
+        into, beyond, begins = [], [], []
+        cut = [_blocks(t) for t in texts]
+        long = [b for own in cut if len(own) > 1 for b in own]
+        q_all, at = self._transfer(long)[0] if long else None, 0
+        for own in cut:
+            blocks += own
+            begins += [True] + [False] * (len(own) - 1)
+            if len(own) == 1:
+                into.append(self.start)
+                beyond.append(np.ones(states))
+                continue
+            q, at = q_all[at : at + len(own)], at + len(own)
+            a, left, ends = self.start, [], []
+            for x in q:
+                left.append(a)
+                end = a @ x
+                ends.append(end / end.sum())
+                a = ends[-1] @ self.trans
+            right = [np.ones(states)]
+            for j in range(len(own) - 1, 0, -1):
+                c = q[j] @ right[-1]
+                pair = self.trans * ends[j - 1][:, None] * c
+                moves += pair / pair.sum()
+                r = self.trans @ c
+                right.append(r / (ends[j - 1] @ r))
+            into += left
+            beyond += right[::-1]
+        return blocks, np.array(into), np.array(beyond), np.array(begins), moves
+
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected start, transition and emission counts of whole texts (scaled forward-backward)."""
         states = len(self.start)
-        chains = sorted(chains, key=len, reverse=True)
-        size = np.array([len(c) for c in chains])
-        steps, active = int(size[0]), []
-        flat = np.concatenate(chains)
-        first = np.cumsum(size) - size
-        alphas, n = [], len(chains)
-        scale = []
-        a = np.repeat(self.start[None], n, 0)
-        for k in range(steps):
-            while size[n - 1] <= k:
-                n -= 1
-            active.append(n)
-            a = (a[:n] @ self.trans if k else a[:n]) * self.emit[flat[first[:n] + k]]
+        blocks, into, beyond, begins, borders = self._cut(texts)
+        order, active, flat = _by_step(blocks)
+        into, beyond, begins = into[order], beyond[order], begins[order]
+        seen, ends = self.emit[flat], np.cumsum(active)
+        alphas, scale, a = np.empty_like(seen), np.empty((len(flat), 1)), into
+        for k, (n, end) in enumerate(zip(active.tolist(), ends.tolist(), strict=True)):
+            a = (a[:n] @ self.trans if k else a) * seen[end - n : end]
             z = a.sum(1, keepdims=True)
-            a = a / z
-            alphas.append(a)
-            scale.append(z)
-        gamma = np.empty((len(flat), states))
-        moves = np.zeros((states, states))
-        b = np.ones((active[-1], states))
-        for k in range(steps - 1, -1, -1):
-            n = active[k]
-            if k < steps - 1:
-                m = active[k + 1]
-                w = self.emit[flat[first[:m] + k + 1]] * b / scale[k + 1]
-                moves += alphas[k][:m].T @ w
-                b = np.ones((n, states))
+            a /= z
+            alphas[end - n : end], scale[end - n : end] = a, z
+        seen /= scale
+        gamma, moves = np.empty_like(seen), np.zeros((states, states))
+        b = beyond[: active[-1]]
+        for k in range(len(active) - 1, -1, -1):
+            n, end = int(active[k]), int(ends[k])
+            if k < len(active) - 1:
+                m = int(active[k + 1])
+                w = seen[end : end + m] * b
+                moves += alphas[end - n : end - n + m].T @ w
+                b = beyond[:n].copy()
                 b[:m] = w @ self.trans.T
-            gamma[first[:n] + k] = alphas[k] * b
-        moves *= self.trans
+            np.multiply(alphas[end - n : end], b, out=gamma[end - n : end])
+        moves = moves * self.trans + borders
         emit = np.stack([np.bincount(flat, gamma[:, s], len(self.emit)) for s in range(states)], 1)
-        return (alphas[0] * b).sum(0), moves, emit
+        return gamma[: len(blocks)][begins].sum(0), moves, emit
 
     def updated(self, start: np.ndarray, moves: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> HiddenMarkov:
         """The next model; the unigram distribution is the emissions' prior, so no symbol loses all probability."""
@@ -112,10 +182,6 @@ class HiddenMarkov:
         return HiddenMarkov((start + 0.1) / (start + 0.1).sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _chains(symbols: np.ndarray) -> list[np.ndarray]:
-    return [symbols[i : i + CHAIN] for i in range(0, len(symbols), CHAIN)]
-
-
 def _counted(src: DataFrame) -> DataFrame:
     """(word, n) over all texts; null is the end."""
 
@@ -168,8 +234,7 @@ def _sequences(src: DataFrame, shipped) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shipped.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.symbols(words_of(t.as_py())).astype(np.uint16).tobytes() for t in part.column(1)], pa.binary())], names=["order", "seq"])
 
     return src.select("order", "text").mapInArrow(run, "order long, seq binary")
@@ -192,12 +257,10 @@ def _expected(seqs: DataFrame, model: HiddenMarkov) -> tuple[np.ndarray, np.ndar
 
         for batch in batches:
             for s in batch.column(0):
-                seq = np.frombuffer(s.as_py(), np.uint16).astype(np.int64)
-                for c in _chains(seq):
-                    held.append(c)
-                    size += len(c)
-                    if size > 400_000:
-                        add()
+                held.append(np.frombuffer(s.as_py(), np.uint16).astype(np.int64))
+                size += len(held[-1])
+                if size > 400_000:
+                    add()
         add()
         if acc is not None:
             head = np.concatenate([acc[0], acc[1].ravel()])
@@ -216,17 +279,17 @@ def _expected(seqs: DataFrame, model: HiddenMarkov) -> tuple[np.ndarray, np.ndar
     return head[:states], head[states:].reshape(states, states), emit
 
 
-def train(src: DataFrame, counts: DataFrame) -> tuple[Vocabulary, HiddenMarkov]:
+def train(src: DataFrame, counts: DataFrame, hot: int | None = None) -> tuple[Vocabulary, HiddenMarkov]:
     """Vocabulary and model of the training rows (order, text); ``counts``: their materialized word counts.  Empty training data give the unigram model."""
     spark = src.sparkSession
     sums = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
-    # the hot words: all from the least count on at which at most HOT qualify, found by bins of the count's logarithm
-    short = counts.where(f"word is not null and length(word) <= {LONGEST}")
+    # the hot words: all from the least count on at which at most ``hot`` qualify, found by bins of the count's logarithm
+    short = counts.where("word is not null")
     bins = short.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
     least, words = None, 0
     for r in bins:
         words += r["words"]
-        if words > HOT:
+        if words > (HOT if hot is None else hot):
             break
         least = r["least"]
     top = sorted(((-r["n"], bytes(r["word"])) for r in short.where(F.col("n") >= least).collect())) if least else []
@@ -235,10 +298,11 @@ def train(src: DataFrame, counts: DataFrame) -> tuple[Vocabulary, HiddenMarkov]:
     if not vocab.total:
         return vocab, model
     seqs = materialize(_sequences(src, spark.sparkContext.broadcast(vocab)), "sequences")
-    first = seqs.orderBy(F.xxhash64("order", F.lit(3)), "order", "seq").limit(SAMPLE).collect()
-    chains = [c for r in first for c in _chains(np.frombuffer(r["seq"], np.uint16).astype(np.int64))]
-    for _ in range(START_STEPS):
-        model = model.updated(*model.expected(chains), vocab.unigram)
+    shard = F.pmod(F.xxhash64("order", "seq", F.lit(3)), F.lit(SHARDS))
+    for k in range(SHARDS):
+        some = seqs.where(shard == k)
+        if not some.isEmpty():
+            model = model.updated(*_expected(some, model), vocab.unigram)
     for _ in range(PASSES):
         model = model.updated(*_expected(seqs, model), vocab.unigram)
     return vocab, model
@@ -252,8 +316,7 @@ def _scored(src: DataFrame, vocab: Vocabulary, model: HiddenMarkov) -> DataFrame
         v, m = shipped.value
         hot = np.append(np.log10(v.counts + 1), 0.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for part in slices(batch, 1, 8 << 20, 10_000):
                 seqs, rare = [], []
                 for t in part.column(1):
                     words = words_of(t.as_py())
@@ -276,7 +339,7 @@ def _scored(src: DataFrame, vocab: Vocabulary, model: HiddenMarkov) -> DataFrame
     return src.select("doc", "text").mapInArrow(run, "doc long, n_tokens long, hot_known long, hot_log double, symbols_log double, rare array<struct<word: binary, n: bigint>>")
 
 
-def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``df`` by a model of ``training`` (same columns).
 
     Null texts are empty: one end token.  Null and repeated ids are rows of their own.  With empty training data both scores are
@@ -285,7 +348,7 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     shape = [F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("order"), F.col(text_col).cast("binary").alias("text")]
     src, fit_on = df.select(*shape), training.select(*shape)
     counts = materialize(_counted(fit_on), "counts")
-    vocab, model = train(fit_on, counts)
+    vocab, model = train(fit_on, counts, hot)
     rows = materialize(_scored(src, vocab, model).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     known = counts.where("word is not null").select("word", F.col("n").alias("c"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from spanweave.llm import hmm
 from spanweave.llm.hmm import HiddenMarkov, op8_lm_scoring, score_texts
@@ -18,7 +19,9 @@ def brute(m, seq):
     return sum(math.prod([m.start[p[0]], *(m.trans[a, b] for a, b in itertools.pairwise(p)), *(m.emit[s, k] for s, k in zip(seq, p))]) for p in itertools.product(range(len(m.start)), repeat=len(seq)))
 
 
-def test_forward_and_expected_counts():
+@pytest.mark.parametrize("block", [512, 1, 2, 4])
+def test_forward_and_expected_counts(monkeypatch, block):
+    monkeypatch.setattr(hmm, "BLOCK", block)
     rng = np.random.default_rng(0)
     m = some_model(rng, 3, 5)
     texts = [rng.integers(0, 5, n) for n in (4, 1, 6, 3)]
@@ -70,3 +73,13 @@ def test_probabilities_add_up(spark, monkeypatch):
     none = score_texts(ask, fit.limit(0)).collect()
     assert all(r.score == r.base_score for r in none)
     assert score_texts(ask.limit(0), fit).count() == 0
+
+
+def test_long_words_and_long_texts():
+    words = hmm.words_of(b"A " + b"x" * 1000 + b" b")
+    assert words[0] == b"a" and words[2] == b"b" and words[1][:1] == b" " and len(words[1]) == 17
+    m = some_model(np.random.default_rng(1), 3, 5)
+    text = np.random.default_rng(2).integers(0, 5, 50_000)
+    assert np.isclose(m.log_likelihood([text])[0], m._stepped([text])[0])
+    start, moves, emit = m.expected([text, text[:3]])
+    assert np.isclose(start.sum(), 2) and np.isclose(moves.sum(), 49_999 + 2) and np.isclose(emit.sum(), 50_003)
