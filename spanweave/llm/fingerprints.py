@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import table
+from spanweave.llm.common import materialize, slices, table
 from spanweave.llm.shingles import shingle_set
 
 K = 64
 BITS = 48
-ROWS_A_RANGE, MAX_RANGES, COARSE = 2000, 4096, 64
+RANGE = 64 << 20  # bytes of texts in a range of ids, about
 
 
 def sketch(text: bytes | None) -> np.ndarray:
@@ -87,23 +87,10 @@ def merge_fingerprints(df: DataFrame, group_col: str, fingerprint_col: str = "fi
     return parts.groupBy("g").agg(F.array_join(F.sort_array(F.collect_list("h")), "").alias("fingerprint")).withColumnRenamed("g", group_col)
 
 
-def _ranges(docs: DataFrame) -> tuple[list[int], dict[int, int]]:
-    """Upper bounds of id ranges with about equal rows, at most ``MAX_RANGES``; for each range's largest id the range that needs it as a successor."""
-    total = docs.count()
-    n = max(1, min(MAX_RANGES, math.ceil(total / ROWS_A_RANGE)))
-    bounds = sorted(set(docs.select(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]), 20 * n)).first()[0] or [])) if n > 1 else []
-    heads = {r["b"]: r["m"] for r in docs.select(_range_of(bounds).alias("b"), "id").groupBy("b").agg(F.max("id").alias("m")).collect()}
-    order = sorted(heads)
-    return bounds, {heads[b]: order[(k + 1) % len(order)] for k, b in enumerate(order)}
-
-
-def _range_of(bounds: list[int]):
-    """Number of bounds below the id, by a coarse and then a fine comparison."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    coarse = F.size(F.filter(F.array(*[F.lit(b) for b in bounds[COARSE - 1 :: COARSE]]), lambda b: b < F.col("id"))) if len(bounds) >= COARSE else F.lit(0)
-    return coarse * COARSE + F.size(F.filter(F.slice(arr, coarse * COARSE + 1, COARSE), lambda b: b < F.col("id")))
+NAMES = ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+SCHEMA = "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDGES, EDGE_KINDS = ["range", "head", "last_doc", "last"], [pa.int32(), pa.string(), pa.int64(), pa.string()]
 
 
 def splice(text: str, following: str) -> str:
@@ -116,38 +103,59 @@ def with_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Fingerprint of each text and of its edited text (``splice`` with the next document by descending id; after the last the first).
 
     Rows of the same id follow each other by a hash of their text; null ids come last; null texts are empty.  Texts are
-    shuffled once, by id ranges of about equal size; each range is read in order as a stream, the largest id of the range below
-    comes along as its end.  An empty table gives an empty result.
+    shuffled once, by ranges of (id, text hash, place of the row), so rows of one id can fill many ranges; each range is read in
+    order as a stream.  The first and the last row of each range meet their neighbours in a small join.  An empty table gives an
+    empty result.
     """
+    spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds, successor = _ranges(docs.select("id"))
-    heads = df.sparkSession.createDataFrame(list(successor.items()), "id long, to int")  # at most MAX_RANGES rows
-    both = docs.join(F.broadcast(heads), "id", "left").withColumn("tie", F.xxhash64("text"))
-    own = F.struct(_range_of(bounds).cast("int").alias("range"), F.lit(0).alias("guest"))
-    both = both.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("range"), F.lit(1).alias("guest"))))))
-    both = both.select("place.*", "id", "tie", "doc", "text").repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "guest", F.desc("id"), "tie")
-    names = ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, math.ceil(size / RANGE))
+    order = [F.desc("id"), F.asc("tie"), F.asc("row")]
+    rows = docs.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("range"), "doc", "text")
+
+    def answer(doc: int | None, text: str, x: np.ndarray, following: str, y: np.ndarray) -> tuple:
+        edited = splice(text, following).encode()
+        z = sketch(edited)
+        return doc, len(text), hashlib.sha256(edited).hexdigest(), to_text(x), to_text(z), resemblance(x, z), resemblance(x, y)
+
+    def batch_of(out: list[tuple], ends: list[tuple] | None = None) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * len(KINDS)
+        arrays = [pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=NAMES) if ends is None else pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.nulls(len(ends), x.type)]) for x in arrays] + [pa.concat_arrays([pa.nulls(len(out), k), pa.array([e[i] for e in ends], k)]) for i, k in enumerate(EDGE_KINDS)], names=[*NAMES, *EDGES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None  # (range, doc, text, sketch): a row whose next one has not come yet
+        waiting = first = None  # (doc, text, sketch): a row whose next one has not come yet; the range's first row
+        rng = -1
         for batch in batches:
-            out: list[tuple] = []
-            for rng, guest, doc, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True):
-                if guest and waiting is None:
-                    continue  # further rows of the head's id
-                own = sketch(text.encode())
-                if waiting is not None:
-                    _, d, t, x = waiting
-                    edited = splice(t, text).encode()
-                    y = sketch(edited)
-                    out.append((d, len(t), hashlib.sha256(edited).hexdigest(), to_text(x), to_text(y), resemblance(x, y), resemblance(x, own)))
-                waiting = None if guest else (rng, doc, text, own)
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    schema = "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return both.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
+            for part in slices(batch, 2):
+                out: list[tuple] = []
+                for rng, doc, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    own = sketch(text.encode())
+                    if waiting is None:
+                        first = text
+                    else:
+                        out.append(answer(*waiting, text, own))
+                    waiting = (doc, text, own)
+                if out:
+                    yield batch_of(out, [])
+        if waiting is not None:
+            yield batch_of([], [(rng, first, waiting[0], waiting[1])])
+
+    made = materialize(rows.mapInArrow(run, f"{SCHEMA}, range int, head string, last_doc long, last string"), "ranges")
+    ends = made.where("range is not null").select("range", "head", "last_doc", "last")
+    # each range's next one, the first after the last: windows see range numbers only, one a range
+    numbers = ends.select("range")
+    following = numbers.withColumn("next", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    pairs = ends.select("range", "last_doc", "last").join(following, "range").join(ends.select(F.col("range").alias("next"), "head"), "next").select("last_doc", "last", "head")
+
+    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield batch_of([answer(d, t, sketch(t.encode()), h, sketch(h.encode())) for d, t, h in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)])
+
+    return made.where("range is null").select(*NAMES).union(pairs.mapInArrow(join_ends, SCHEMA)).withColumnRenamed("doc", id_col)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,7 @@ def jaccard(a, b):
 
 
 def test_documents(spark, monkeypatch):
-    monkeypatch.setattr(fp, "ROWS_A_RANGE", 7)
-    monkeypatch.setattr(fp, "COARSE", 4)
+    monkeypatch.setattr(fp, "RANGE", 20_000)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(-5, ""), (10**15, None), (10**15 + 1, "a b c")]
     got = {r.doc_id: r for r in fp.with_edited(spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, place string").repartition(6)).collect()}
     order = sorted(docs, reverse=True)
@@ -57,3 +56,14 @@ def test_merging_and_estimates(spark):
     assert np.array_equal(fp.from_text(fp.to_text(x)), x)
     rows = fp.fingerprints(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")).collect()
     assert {r.doc_id: r.n_distinct for r in rows} == {1: 1.0, 2: 0.0}
+
+
+def test_one_id_fills_many_ranges(spark, monkeypatch):
+    """A hot id's rows are in order of their texts' hashes, whatever the ranges; equal rows give equal results."""
+    monkeypatch.setattr(fp, "RANGE", 2000)
+    df = spark.createDataFrame([(5, f"text {i % 150} " * 30) for i in range(300)] + [(None, "")] * 3 + [(7, "last one")], "doc_id long, text string").repartition(6)
+    got = fp.with_edited(df).collect()
+    assert len(got) == 304 and sum(r.doc_id == 5 for r in got) == 300 and sum(r.doc_id is None for r in got) == 3
+    monkeypatch.setattr(fp, "RANGE", 1 << 30)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, fp.with_edited(df).collect())) == sorted(map(key, got))
