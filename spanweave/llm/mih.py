@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.common import materialize, table
 
-SAMPLE = 8192  # vectors the rotation and the radius are learned on, at most
+SAMPLE = 8192  # vectors the rotation and the radius are learned on, about: those with small hashes of their ids, all if there are fewer
 PROBES = 128  # of them used as queries for the radius
 MAX_BITS, SUB_BITS = 64, 8
 COVER = 0.985
@@ -138,17 +138,18 @@ def search(vectors: DataFrame, queries: DataFrame, coder: Coder, dims: int, k: i
 def nearest(df: DataFrame, k: int = 10, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row whose id is divisible by ``every``, by Euclidean distance in double precision.
 
-    Vectors that are null or zero, hold null or non-finite components or have another length than most of the sample's take no
-    part; rows of one id are one vector; fewer candidates than k are all returned.  Other columns are not read.
+    Vectors that are null or zero, hold null or non-finite components or have another length than the most frequent one (the longer of equals) take no
+    part: distances between different lengths are not defined; rows of one id are one vector; fewer candidates than k are all returned.  Other columns are not read.
     """
     vectors = materialize(usable(df, id_col, vector_col), "vectors")
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(SAMPLE).toPandas()
-    lengths = sample["x"].map(len)
-    if not len(sample):
+    lengths = vectors.groupBy(F.size("x").alias("dims")).agg(F.count("*").alias("n")).agg(F.max_by("dims", F.struct("n", "dims")).alias("dims"), F.max("n").alias("n")).first()
+    if not lengths["n"]:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    dims = int(lengths.mode()[0])
-    coder = learn(np.stack(sample["x"][lengths == dims]), k)
+    dims = lengths["dims"]
     vectors = vectors.where(F.size("x") == dims)
+    few = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 32)) < F.lit(int(min(1.0, SAMPLE / lengths["n"]) * (1 << 32)))
+    sample = sorted((r["id"], r["x"]) for r in vectors.where(few).collect())
+    coder = learn(np.array([x for _, x in sample], np.float64) if sample else np.zeros((1, dims)), k)
     queries = vectors.where(F.col("id") % every == 0)
     n, asked = vectors.count(), queries.count()
     first = materialize(search(vectors, queries, coder, dims, k, coder.radius, n, asked), "found")
