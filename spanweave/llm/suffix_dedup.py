@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import materialize, table
+from spanweave.llm.common import materialize, slices, table
 from spanweave.llm.keyfilter import key_filter
 from spanweave.llm.shingles import mix
 
@@ -34,7 +34,7 @@ WINDOW, GRAM = 200, 48
 STEP = 1 << 22  # bytes of a text looked at together
 SHARD = 8000  # stretches in a shard, about
 HOT = 4000  # places of a minimizer beyond which it is salted
-HOTTEST = 65_536  # salted minimizers, at most: the hottest
+SENT = 65_536  # salted minimizers that are broadcast, at most; more are joined
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -161,40 +161,52 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
 def _minimizers(src: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                found = [stretches(np.frombuffer(t.as_py(), np.uint8))[0] for t in batch.column(0).slice(at, 500)]
+            for part in slices(batch, 0):
+                found = [stretches(np.frombuffer(t.as_py(), np.uint8))[0] for t in part.column(0)]
                 h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
 
     return src.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _shipped(src: DataFrame, kept, hot, shards: int) -> DataFrame:
-    """Stretches of minimizers in the filter: shard, minimizer, its salts, document, first start, bytes."""
+def _shipped(src: DataFrame, kept) -> DataFrame:
+    """Stretches of minimizers in the filter: minimizer, document, first start, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = hot.value
+        def out() -> pa.RecordBatch:
+            rows = pa.array(own, pa.int64())
+            made = pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["gram", "k1", "k2", "start", "data"])
+            for x in (own, gram, start, data):
+                x.clear()
+            return made
+
+        own, gram, start, data = [], [], [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                own, gram, start, data, shard, salted = [], [], [], [], [], []
-                k1 = part.column(0).to_pylist()
+            for part in slices(batch, 2):
+                size = 0
                 for i, t in enumerate(part.column(2)):
                     raw = t.as_py()
                     g, first, last = stretches(np.frombuffer(raw, np.uint8))
                     for k in np.flatnonzero(kept.value.has(g)) if len(g) else ():
-                        v, a = int(g[k]), int(first[k])
+                        a = int(first[k])
                         own.append(i)
-                        gram.append(v - (v >> 63 << 64))
+                        gram.append(int(g[k].view(np.int64)))
                         start.append(a)
                         data.append(raw[a : int(last[k]) + WINDOW])
-                        n = salts.get(gram[-1], 1)
-                        shard.append(v % shards if n == 1 else (v + 1 + xxhash.xxh3_64_intdigest(f"{k1[i]} {a}") % n) % shards)
-                        salted.append(n)
-                own = pa.array(own, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(gram, pa.int64()), pa.array(salted, pa.int64()), part.column(0).take(own), part.column(1).take(own), pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["shard", "gram", "salted", "k1", "k2", "start", "data"])
+                        size += len(data[-1])
+                        if size > 8 << 20:  # periodic texts have a stretch a byte
+                            yield out()
+                            size = 0
+                yield out()
 
-    return src.select("k1", "k2", "text").mapInArrow(run, "shard long, gram long, salted long, k1 long, k2 long, start long, data binary")
+    return src.select("k1", "k2", "text").mapInArrow(run, "gram long, k1 long, k2 long, start long, data binary")
+
+
+def _sharded(rows: DataFrame, hot: DataFrame, shards: int, many: bool) -> DataFrame:
+    """Adds shard and salted (the number of shards that a minimizer's stretches are dealt over)."""
+    rows = rows.join(hot if many else F.broadcast(hot), "gram", "left").withColumn("salted", F.coalesce("salts", F.lit(1)))
+    dealt = F.when(F.col("salted") > 1, 1 + F.pmod(F.xxhash64("k1", "start"), F.col("salted"))).otherwise(0)
+    return rows.select(F.pmod(F.pmod("gram", F.lit(shards)) + dealt, F.lit(shards)).alias("shard"), "gram", "salted", "k1", "k2", "start", "data")
 
 
 PARTS = 64  # hash ranges for each shard that a hot minimizer is salted over
@@ -262,9 +274,9 @@ def repeated_ranges(src: DataFrame) -> DataFrame:
     total = grams.agg(F.sum("n")).first()[0] or 0
     sc = src.sparkSession.sparkContext
     kept = sc.broadcast(key_filter(grams.select("gram")))
-    hottest = grams.where(f"n > {HOT}").orderBy(F.desc("n"), "gram").limit(HOTTEST).collect()
-    hot = sc.broadcast({r["gram"]: math.ceil(r["n"] / HOT) + 1 for r in hottest})
-    found = _in_shards(_shipped(src, kept, hot, max(1, math.ceil(total / SHARD))))
+    hot = grams.where(f"n > {HOT}").select("gram", (F.ceil(F.col("n") / HOT) + 1).alias("salts"))
+    hottest = hot.count()
+    found = _in_shards(_sharded(_shipped(src, kept), hot, max(1, math.ceil(total / SHARD)), hottest > SENT))
     if hottest:
         found = materialize(found, "ranges")
         found = found.where("strings is null").select("k1", "k2", "first", "last").union(_across_shards(found.where("strings is not null").select("part", "strings")))

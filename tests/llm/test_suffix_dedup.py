@@ -41,9 +41,10 @@ def some_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("hot", [4000, 5])
-def test_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sent"), [(4000, 65_536), (5, 65_536), (5, 0)])
+def test_against_brute_force(spark, monkeypatch, hot, sent):
     monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "SENT", sent)
     monkeypatch.setattr(sd, "SHARD", 20)
     compare(spark, some_texts(hot))
 
@@ -95,3 +96,8 @@ def test_key_filter(spark):
     f = key_filter(spark.createDataFrame([(int(k),) for k in keys], "k long"))
     assert f.has(keys.view(np.uint64)).all()
     assert f.has(rng.integers(0, 2**63, 20000).astype(np.uint64)).mean() < 0.05
+
+
+def test_periodic_text(spark):
+    got = remove_repeats(spark.createDataFrame([(1, "abcdefg" * 30_000), (2, "own " * 10)], "doc_id long, text string"), outputs=("n_bytes", "n_removed")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(1, 210_000, 210_000), (2, 40, 0)]
