@@ -29,7 +29,7 @@ from spanweave.llm.common import materialize, slices, table
 from spanweave.llm.keyfilter import key_filter
 from spanweave.llm.shingles import mix
 
-MIN_WORDS = 8
+MIN_WORDS = 8  # words from which on lines may differ by one; a parameter, shorter lines go only when equal
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,7 +67,7 @@ def within_one_edit(x: np.ndarray, y: np.ndarray) -> bool:
     return bool((longer[at + 1 :] == shorter[at:]).all())
 
 
-def _lines(df: DataFrame) -> DataFrame:
+def _lines(df: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -78,13 +78,13 @@ def _lines(df: DataFrame) -> DataFrame:
                             doc.append(i)
                             no.append(k)
                             key.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                            halves.append(np.array(half_keys(words), np.uint64).view(np.int64) if len(words) >= MIN_WORDS else None)
+                            halves.append(np.array(half_keys(words), np.uint64).view(np.int64) if len(words) >= least else None)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(key, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], names=["doc", "no", "key", "halves"])
 
     return df.mapInArrow(run, "doc long, no int, key binary, halves array<long>")
 
 
-def _passed(df: DataFrame, shipped) -> DataFrame:
+def _passed(df: DataFrame, shipped, least: int) -> DataFrame:
     """Lines with a half in the filter: key, place and word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def _passed(df: DataFrame, shipped) -> DataFrame:
                 for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     for k, line in enumerate((t.as_py() or b"").split(b"\n")):
                         words = line.split()
-                        if len(words) >= MIN_WORDS:
+                        if len(words) >= least:
                             where.append((i, k, words))
                             keys.append(half_keys(words))
                 doc, no, key, hashes = [], [], [], []
@@ -136,14 +136,14 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "key binary")
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, nos): numbers, from 0, of the lines that go, for documents that lose any."""
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, nos): numbers, from 0, of the lines that go, for documents that lose any; lines of ``min_words`` words (2 at least) or more go if they are within one word of an earlier one."""
     src = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).where("doc is not null")
-    lines = materialize(_lines(src), "lines")
+    lines = materialize(_lines(src, max(2, min_words)), "lines")
     shared = lines.select(F.explode("halves").alias("half"), "key").groupBy("half").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("half")
     shared = materialize(shared, "halves")
     shipped = df.sparkSession.sparkContext.broadcast(key_filter(shared))
-    passed = _passed(src, shipped).groupBy("key").agg(F.min(F.struct("doc", "no", "hashes")).alias("f")).select("key", "f.*")
+    passed = _passed(src, shipped, max(2, min_words)).groupBy("key").agg(F.min(F.struct("doc", "no", "hashes")).alias("f")).select("key", "f.*")
     passed = materialize(passed, "passed")
     var = materialize(_variants(passed).withColumn("at", F.struct("doc", "no")).select("variant", "place", "at"), "variants")
     # same variant, same place: replacement; the group's earliest line is every other one's partner
@@ -163,13 +163,13 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return gone.groupBy("doc").agg(F.collect_set("no").alias("nos"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``df`` with its later repeated lines cut out: id, text, n_lines (with words), n_removed (and kept_sha256 with ``digest``).
 
     Rows of the same id are one document and lose the same lines; a null id keeps its text; a null text stays null, an empty
     one empty.  Other columns are not read, so their names cannot clash.  An empty table gives an empty result.
     """
-    gone = removed_lines(df, id_col, text_col)
+    gone = removed_lines(df, id_col, text_col, min_words)
     names = ["doc", "text", "n_lines", "n_removed"] + ["kept_sha256"] * digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +194,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     return src.join(gone, "doc", "left").select("doc", "text", "nos").mapInArrow(run, schema).withColumnRenamed("doc", id_col).withColumnRenamed("text", text_col)
 
 
-def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``df`` with repeated lines cut from their texts and ``chars_col``, where there is one, set anew.
 
     A row all of whose lines with words were cut goes; one that had none before stays as it was, and so does a null text.
     """
-    gone = removed_lines(df, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("nos").alias("__nos"))
+    gone = removed_lines(df, id_col, text_col, min_words).select(F.col("doc").alias("__doc"), F.col("nos").alias("__nos"))
     schema, text, chars = df.schema, df.columns.index(text_col), df.columns.index(chars_col) if chars_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

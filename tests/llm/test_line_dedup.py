@@ -15,7 +15,7 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(docs):
+def brute(docs, MIN_WORDS=MIN_WORDS):
     first = {}
     for i, t in sorted((i, t) for i, t in docs.items()):
         for k, line in enumerate((t or "").split("\n")):
@@ -67,3 +67,11 @@ def test_deletion_keys():
     for i in range(12):
         assert gone[i] == deletion_keys(np.delete(h, i))[1]
     assert within_one_edit(h, np.delete(h, 4)) and within_one_edit(h, h) and not within_one_edit(h, np.delete(h, [1, 5]))
+
+
+def test_short_lines_by_parameter(spark):
+    rng = random.Random(5)
+    docs = {i: "\n".join(" ".join(f"w{rng.randrange(5)}" for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(4))) for i in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for least in (2, 3, 4):
+        assert {r.doc_id: r.text for r in dedup_lines(df, min_words=least).collect()} == brute(docs, least)
