@@ -59,6 +59,7 @@ class HiddenMarkov:
 
     def __init__(self, start: np.ndarray, trans: np.ndarray, emit: np.ndarray):
         self.start, self.trans, self.emit = start, trans, emit
+        self.by_state = np.ascontiguousarray(emit.T)
 
     @classmethod
     def random(cls, unigram: np.ndarray, states: int, seed: int) -> HiddenMarkov:
@@ -70,17 +71,20 @@ class HiddenMarkov:
         """Of each block the scaled products of emissions and transitions from its first to its last token (state by state), and the logs of their scales."""
         n, states = len(blocks), len(self.start)
         order, active, flat = _by_step(blocks)
-        seen, at = self.emit[flat], n
-        q = np.zeros((n, states, states))
-        q[:, range(states), range(states)] = seen[:n]
+        seen, at, turned = np.take(self.by_state, flat, axis=1), n, np.ascontiguousarray(self.trans.T)
+        q = np.zeros((states, states, n))
+        q[range(states), range(states)] = seen[:, :n]
         logs = np.zeros(n)
         for m in active[1:].tolist():
-            new = (q[:m].reshape(-1, states) @ self.trans).reshape(m, states, states) * seen[at : at + m, None]
-            z = new.sum((1, 2))
-            q[:m], logs[:m], at = new / z[:, None, None], logs[:m] + np.log(z), at + m
+            new = np.matmul(turned, q[:, :, :m])
+            new *= seen[:, at : at + m]
+            z = new.sum((0, 1))
+            np.divide(new, z, out=q[:, :, :m])
+            logs[:m] += np.log(z)
+            at += m
         back = np.empty(n, np.int64)
         back[order] = np.arange(n)
-        return q[back], logs[back]
+        return np.moveaxis(q, 2, 0)[back], logs[back]
 
     def log_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each symbol sequence: texts step together, longest first, so the active ones are a prefix; blocks of long ones side by side."""
@@ -102,12 +106,13 @@ class HiddenMarkov:
 
     def _stepped(self, texts: list[np.ndarray]) -> np.ndarray:
         order, active, flat = _by_step(texts)
-        out, at, a = np.zeros(len(texts)), 0, np.repeat(self.start[None], len(texts), 0)
+        seen, turned = np.take(self.by_state, flat, axis=1), np.ascontiguousarray(self.trans.T)
+        out, at, a = np.zeros(len(texts)), 0, np.repeat(self.start[:, None], len(texts), 1)
         for k, n in enumerate(active.tolist()):
-            a = (a[:n] @ self.trans if k else a[:n]) * self.emit[flat[at : at + n]]
-            z = a.sum(1)
+            a = (turned @ a[:, :n] if k else a[:, :n]) * seen[:, at : at + n]
+            z = a.sum(0)
             out[:n] += np.log(z)
-            a /= z[:, None]
+            a /= z
             at += n
         result = np.empty_like(out)
         result[order] = out
@@ -151,29 +156,31 @@ class HiddenMarkov:
         states = len(self.start)
         blocks, into, beyond, begins, borders = self._cut(texts)
         order, active, flat = _by_step(blocks)
-        into, beyond, begins = into[order], beyond[order], begins[order]
-        seen, ends = self.emit[flat], np.cumsum(active)
-        alphas, scale, a = np.empty_like(seen), np.empty((len(flat), 1)), into
+        into, beyond, begins = into[order].T, np.ascontiguousarray(beyond[order].T), begins[order]
+        # one row a state, so that every step works on long rows
+        seen, ends, turned = np.take(self.by_state, flat, axis=1), np.cumsum(active), np.ascontiguousarray(self.trans.T)
+        gamma, a = np.empty_like(seen), into
         for k, (n, end) in enumerate(zip(active.tolist(), ends.tolist(), strict=True)):
-            a = (a[:n] @ self.trans if k else a) * seen[end - n : end]
-            z = a.sum(1, keepdims=True)
+            here = seen[:, end - n : end]
+            a = (turned @ a[:, :n] if k else a) * here
+            z = a.sum(0)
             a /= z
-            alphas[end - n : end], scale[end - n : end] = a, z
-        seen /= scale
-        gamma, moves = np.empty_like(seen), np.zeros((states, states))
-        b = beyond[: active[-1]]
+            here /= z
+            gamma[:, end - n : end] = a
+        moves = np.zeros((states, states))
+        b = beyond[:, : active[-1]]
         for k in range(len(active) - 1, -1, -1):
             n, end = int(active[k]), int(ends[k])
             if k < len(active) - 1:
                 m = int(active[k + 1])
-                w = seen[end : end + m] * b
-                moves += alphas[end - n : end - n + m].T @ w
-                b = beyond[:n].copy()
-                b[:m] = w @ self.trans.T
-            np.multiply(alphas[end - n : end], b, out=gamma[end - n : end])
+                w = seen[:, end : end + m] * b
+                moves += gamma[:, end - n : end - n + m] @ w.T
+                b = beyond[:, :n].copy()
+                b[:, :m] = self.trans @ w
+            gamma[:, end - n : end] *= b
         moves = moves * self.trans + borders
-        emit = np.stack([np.bincount(flat, gamma[:, s], len(self.emit)) for s in range(states)], 1)
-        return gamma[: len(blocks)][begins].sum(0), moves, emit
+        emit = np.stack([np.bincount(flat, g, len(self.emit)) for g in gamma], 1)
+        return gamma[:, : len(blocks)][:, begins].sum(1), moves, emit
 
     def updated(self, start: np.ndarray, moves: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> HiddenMarkov:
         """The next model; the unigram distribution is the emissions' prior, so no symbol loses all probability."""
