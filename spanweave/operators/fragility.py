@@ -133,16 +133,23 @@ def bottleneck(fragility: DataFrame) -> DataFrame:
 
 def filtered_route_fragility(graph: RoadGraph, od: DataFrame, levels: DataFrame, marks: DataFrame, percentile: float = 0.8, ratio: float = 1.05) -> DataFrame:
     """As route_fragility, with column screened: bridge (nothing replaces it), level (both ends at or above the level percentile) or
-    bound (the landmark bound is within ``ratio`` of the distance), with ratio 1; other edges exactly."""
-    found = route_fragility(graph, od)
+    bound (the landmark bound is within ``ratio`` of the distance), with ratio 1; other edges exactly.
+
+    The screen comes first: only pairs with an edge that passes it are searched for replacements."""
+    way = paths(graph, od).where(F.size("path") > 1)
+    step = F.posexplode(F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst"))))
+    edges = way.select("od_id", F.col("dist").alias("primary"), step.alias("pos", "e")).select("od_id", "pos", "e.src", "e.dst", "primary")
     b = bridges(graph).withColumn("bridge", F.lit(True))
     n = levels.count()
     least = levels.withColumn("at", F.row_number().over(Window.orderBy("node_level", "node_id")) - 1).where(F.col("at") == min(max(0, n - 1), int(percentile * n))).select(F.col("node_level").alias("least"))
     lv = levels.select("node_id", "node_level")
-    out = found.join(b, (F.least("src", "dst") == b.u) & (F.greatest("src", "dst") == b.v), "left").drop("u", "v")
+    out = edges.join(b, (F.least("src", "dst") == b.u) & (F.greatest("src", "dst") == b.v), "left").drop("u", "v")
     out = out.join(lv.select(F.col("node_id").alias("src"), F.col("node_level").alias("ls")), "src").join(lv.select(F.col("node_id").alias("dst"), F.col("node_level").alias("ld")), "dst").join(F.broadcast(least)).join(alt_bound(od, marks), "od_id")
     why = F.when(F.col("bridge"), "bridge").when((F.col("ls") >= F.col("least")) & (F.col("ld") >= F.col("least")), "level").when((F.col("bound") > 0) & (F.col("primary") / F.col("bound") < ratio), "bound")
-    out = out.withColumn("screened", why)
+    out = materialize(out.select("od_id", "pos", "src", "dst", "primary", why.alias("screened")), "screened")
+    left = od.join(out.where("screened is null").select("od_id").distinct(), "od_id", "left_semi")
+    exact = route_fragility(graph, left).select("od_id", "pos", "replacement", "ratio")
+    out = out.join(exact, ["od_id", "pos"], "left")
     soft = F.col("screened").isin("level", "bound")
     return out.select("od_id", "pos", "src", "dst", "primary", F.when(soft, F.col("primary")).when(F.col("screened").isNull(), F.col("replacement")).alias("replacement"), F.when(soft, 1.0).when(F.col("screened").isNull(), F.col("ratio")).alias("ratio"), "screened")
 

@@ -29,6 +29,11 @@ CURVE = "SELECT run, k, q / 50 + k * 5e-2 AS value FROM (SELECT l_suppkey % 20 A
 OSM = f"""{G}, way AS (SELECT CAST(floor(node_id / 50) AS BIGINT) AS w, node_id, lat, lon, lead(node_id) OVER p AS nxt, lead(lat) OVER p AS lat2, lead(lon) OVER p AS lon2 FROM nodes WINDOW p AS (PARTITION BY CAST(floor(node_id / 50) AS BIGINT) ORDER BY node_id)),
 step AS (SELECT w, node_id AS a, nxt AS b, CASE w % 4 WHEN 0 THEN 'motorway' WHEN 1 THEN 'residential' WHEN 3 THEN 'tertiary' END AS highway, {hav('lat', 'lon', 'lat2', 'lon2')} AS m FROM way WHERE nxt IS NOT NULL AND w % 4 <> 2),
 osm AS (SELECT w, a AS src, b AS dst, m / (({case('highway', SPEED_CAR)}) / 36e-1) AS weight, highway FROM step UNION ALL SELECT w, b, a, m / (({case('highway', SPEED_CAR)}) / 36e-1), highway FROM step WHERE w % 3 <> 0 AND w % 4 <> 0)"""
+SNAPS = f"""{A}, one AS (SELECT src, dst, min(edge_id) AS edge_id FROM edges GROUP BY 1, 2),
+e AS (SELECT edge_id, u.lat AS y1, u.lon AS x1, v.lat AS y2, v.lon AS x2, cos(radians(u.lat)) AS k FROM one JOIN nodes u ON u.node_id = src JOIN nodes v ON v.node_id = dst),
+f AS (SELECT point_id, edge_id, lat, lon, y1, x1, y2, x2, least(1e0, greatest(0e0, ((lon - x1) * k * ((x2 - x1) * k) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * k * ((x2 - x1) * k) + (y2 - y1) * (y2 - y1)))) AS t FROM points, e),
+near AS (SELECT point_id, edge_id, t, {hav('lat', 'lon', 'y1 + t * (y2 - y1)', 'x1 + t * (x2 - x1)')} AS m FROM f),
+snaps AS (SELECT p.point_id, m AS snap_m, t FROM points p LEFT JOIN (SELECT point_id, min(m) AS m, arg_min(t, (m, edge_id)) AS t FROM near WHERE m < 500 GROUP BY 1) n ON n.point_id = p.point_id)"""
 LA, LO = CENTRE
 
 
@@ -76,6 +81,10 @@ SELECT point_id, round(35 + t * 3e-2, 6) AS p_lat, round(-83 + t * 4e-1, 6) AS p
     "j2_boundary_nodes": f"{A}, e AS ({BORDER}), f AS (SELECT src, arg_min(dst, edge_id) AS dst FROM e WHERE ra IS NOT NULL AND (rb IS NULL OR ra <> rb) GROUP BY src) SELECT node_id FROM assignment WHERE region_idx IS NULL UNION SELECT src FROM f UNION SELECT dst FROM f",
     "j4_entry_points": f"{G}, i AS (SELECT node_id FROM nodes WHERE {INSIDE}) SELECT DISTINCT src AS node_id FROM edges WHERE src IN (FROM i) AND dst NOT IN (FROM i)",
     "j5_border_nodes": f"{A}, e AS ({BORDER}) SELECT src AS node_id, CAST(ra AS BIGINT) AS region_idx FROM e WHERE ra <> rb UNION SELECT dst, rb FROM e WHERE ra <> rb",
+    "j7_nearest_edges": f"{SNAPS} SELECT point_id, row_number() OVER (PARTITION BY point_id ORDER BY m, edge_id) AS rank, round(m, 6) AS distance_m FROM near WHERE m <= 1200 QUALIFY rank <= 4",
+    "j8_snap": f"{SNAPS} SELECT point_id, round(snap_m, 6) AS snap_m, snap_m IS NOT NULL AS snapped FROM snaps",
+    "a4_snap_quality": f"""{SNAPS} SELECT count(*) AS total, count(snap_m) AS snapped, count(*) FILTER (snap_m IS NULL) AS failed, count(*) FILTER (t < 1e-2 OR t > 99e-2) AS exact,
+  count(*) FILTER (snap_m > 200) AS warned, round(max(snap_m), 6) AS max_m, {', '.join(f"round(list_sort(list(snap_m) FILTER (snap_m IS NOT NULL))[least(count(snap_m) - 1, count(snap_m) * {p} // 100) + 1], 6) AS p{p}" for p in (50, 90, 95, 99))} FROM snaps""",
     "j6_nearest_node": f"{A}, d AS (SELECT point_id, node_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS m FROM points p, nodes n) SELECT point_id, arg_min(node_id, (m, node_id)) AS node_id, round(min(m), 6) AS distance_m FROM d GROUP BY 1",
     "a1_border_edges": f"WITH t AS ({plain(TRADE)}), e AS (SELECT t.*, x.n_regionkey AS ra, y.n_regionkey AS rb FROM t JOIN nation x ON x.n_nationkey = src JOIN nation y ON y.n_nationkey = dst) SELECT CAST(least(ra, rb) AS BIGINT) AS region_a, CAST(greatest(ra, rb) AS BIGINT) AS region_b, count(*) AS edge_count, sum(weight) AS total_weight, min(weight) AS min_weight, max(weight) AS max_weight FROM e WHERE ra <> rb GROUP BY 1, 2",
     "a1_border_totals": f"{A}, e AS ({BORDER}) SELECT count(DISTINCT CASE WHEN ra <> rb THEN least(ra, rb) * 100 + greatest(ra, rb) END) AS connected_pairs, count(*) FILTER (ra <> rb) AS border_edges, count(*) FILTER ((ra IS NULL) <> (rb IS NULL)) AS unassigned_edges FROM e",
