@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in local tests."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode only, since executors of a cluster don't share one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
