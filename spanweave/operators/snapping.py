@@ -14,8 +14,8 @@ from spanweave.graph import RoadGraph
 def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.02) -> DataFrame:
     """(point_id, node_id, distance_m): nearest node, lowest id of equals.
 
-    Points meet nodes of their own and the eight cells around; points with no node within a cell's width search all nodes in
-    blocks of points, so the answer is exact.
+    Points meet nodes of their own and the eight cells around.  Points with no node within a cell's width meet all nodes (a
+    plain cross join of those points), so the answer is exact; ``cell`` should be wide enough that they are few.
     """
     n = nodes.where("lat is not null and lon is not null").select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"))
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
