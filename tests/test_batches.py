@@ -80,3 +80,13 @@ def test_the_graph_does_not_pass_through_the_driver(spark, monkeypatch):
     h = pickle.loads(pickle.dumps(g))
     assert isinstance(h.adjacent, module.Rows) and isinstance(h.reverse, module.Rows)
     assert kernels.dijkstra(h.adjacent, 7) == kernels.dijkstra(g.adjacent, 7) and kernels.dijkstra(h.reverse, 7)[0] == kernels.dijkstra(g.reverse, 7)[0]
+
+
+def test_trips_by_intervals(spark, monkeypatch):
+    from spanweave.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, queries.QUERIES["g3_paths"](spark, d).collect()))
+    monkeypatch.setattr(paths, "FAR_NODES", 10)
+    monkeypatch.setattr(paths, "FEW_SOURCES", 1)
+    assert sorted(map(tuple, queries.QUERIES["g3_paths"](spark, d).collect())) == want
