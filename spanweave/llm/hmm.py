@@ -31,6 +31,7 @@ SHARDS, PASSES = 6, 2
 LONG_WORD = 64  # bytes; longer words go by a 128-bit hash
 PRIOR = 200.0  # pseudo-tokens a state has of the unigram distribution
 SLICE = 2000
+SCORED = 2 << 20  # bytes of texts scored together
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 
 
@@ -323,13 +324,16 @@ def _scored(src: DataFrame, vocab: Vocabulary, model: HiddenMarkov) -> DataFrame
         v, m = shipped.value
         hot = np.append(np.log10(v.counts + 1), 0.0)
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20, 10_000):
-                seqs, rare = [], []
+            for part in slices(batch, 1, SCORED):
+                seqs, ends, rare, times = [], [0], [], []
                 for t in part.column(1):
                     words = words_of(t.as_py())
                     s = v.symbols(words)
                     seqs.append(s)
-                    rare.append([{"word": w, "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(s == v.rare)).items()])
+                    seen = Counter(words[i] for i in np.flatnonzero(s == v.rare))
+                    rare += seen
+                    times += seen.values()
+                    ends.append(len(rare))
                 prob = m.log_likelihood(seqs) / math.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -338,7 +342,7 @@ def _scored(src: DataFrame, vocab: Vocabulary, model: HiddenMarkov) -> DataFrame
                         pa.array([int((s < v.end).sum() + (v.counts[-1] > 0)) for s in seqs], pa.int64()),
                         pa.array([float(hot[s].sum()) for s in seqs], pa.float64()),
                         pa.array(prob, pa.float64()),
-                        pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])),
                     ],
                     names=["doc", "n_tokens", "hot_known", "hot_log", "symbols_log", "rare"],
                 )

@@ -83,3 +83,23 @@ def test_long_words_and_long_texts():
     assert np.isclose(m.log_likelihood([text])[0], m._stepped([text])[0])
     start, moves, emit = m.expected([text, text[:3]])
     assert np.isclose(start.sum(), 2) and np.isclose(moves.sum(), 49_999 + 2) and np.isclose(emit.sum(), 50_003)
+
+
+def test_texts_are_scored_in_parts_of_bounded_bytes():
+    """However many rows a batch has, only a few MB of its texts are scored together, and rare words keep their numbers."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    vocab = hmm.Vocabulary([(b"a", 5), (b"b", 3)], 2, 10, 4)
+    model, sizes, held = hmm.HiddenMarkov.random(vocab.unigram, 2, 1), [], {}
+    spy = SimpleNamespace(log_likelihood=lambda seqs: sizes.append(sum(map(len, seqs))) or model.log_likelihood(seqs))
+    src = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
+    src.select = lambda *_: src
+    src.mapInArrow = lambda run, _: held.update(run=run)
+    hmm._scored(src, vocab, spy)
+    texts = [b"a b rare other rare " * 200] * 1500 + [None, b""]
+    out = pa.Table.from_batches(held["run"](iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc", "text"])])))
+    assert max(sizes) <= 600_000 and sum(sizes) == 1500 * 1001 + 2
+    assert out["rare"].to_pylist() == [[{"word": b"rare", "n": 400}, {"word": b"other", "n": 200}]] * 1500 + [[], []]
+    assert out["n_tokens"].to_pylist() == [1001] * 1500 + [1, 1]
