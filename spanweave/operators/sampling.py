@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from spanweave.graph import RoadGraph
+from spanweave.graph import RoadGraph, by_shuffle
 from spanweave.operators.paths import distances
 from spanweave.shared import materialize
 
@@ -108,7 +108,7 @@ def od_pairs(graph: RoadGraph, n: int, seed: int = 42) -> DataFrame:
     ids = graph.nodes.select("node_id").withColumn("at", F.row_number().over(Window.orderBy("node_id")) - 1)
     total = ids.count()
     draw = graph.spark.range(n).select(F.col("id").alias("od_id"), F.pmod(_key(seed, "id"), F.lit(max(1, total))).alias("i"), F.pmod(_key(seed + 1, "id"), F.lit(max(1, total))).alias("j"))
-    return draw.join(ids.select(F.col("at").alias("i"), F.col("node_id").alias("src")), "i").join(ids.select(F.col("at").alias("j"), F.col("node_id").alias("dst")), "j").where("src <> dst").select("od_id", "src", "dst")
+    return draw.join(by_shuffle(ids.select(F.col("at").alias("i"), F.col("node_id").alias("src"))), "i").join(by_shuffle(ids.select(F.col("at").alias("j"), F.col("node_id").alias("dst"))), "j").where("src <> dst").select("od_id", "src", "dst")
 
 
 def sample_od(graph: RoadGraph, n: int = 1000, strata: int = 10, pilot: int = 500, long_weight: int = 3, seed: int = 42) -> DataFrame:
