@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spanweave.operators import sampling
+from spanweave.operators import regions, sampling
 from spanweave.sources.loaders import grid_graph
 
 
@@ -20,3 +20,9 @@ def grid(spark):
 def test_drawn_pairs(grid):
     out = sampling.od_pairs(grid[0], 30)
     assert "Broadcast" not in plan(out) and 0 < out.count() <= 30
+
+
+def test_regions_of_edges(grid):
+    out = regions.with_regions(*grid)
+    assert "Broadcast" not in plan(out)
+    assert {(r.ra, r.rb) for r in out.collect()} == {(r.src % 3, r.dst % 3) for r in grid[0].edges.collect()}
