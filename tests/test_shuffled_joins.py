@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spanweave.operators import regions, sampling
+from spanweave.operators import regions, sampling, topology
 from spanweave.sources.loaders import grid_graph
 
 
@@ -26,3 +26,9 @@ def test_regions_of_edges(grid):
     out = regions.with_regions(*grid)
     assert "Broadcast" not in plan(out)
     assert {(r.ra, r.rb) for r in out.collect()} == {(r.src % 3, r.dst % 3) for r in grid[0].edges.collect()}
+
+
+def test_pieces(grid, monkeypatch):
+    monkeypatch.setattr(topology, "ONE_TASK", 0)
+    out = topology.bridges(grid[0])
+    assert "Broadcast" not in plan(out) and out.count() == 0
