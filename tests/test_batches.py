@@ -90,3 +90,26 @@ def test_trips_by_intervals(spark, monkeypatch):
     monkeypatch.setattr(paths, "FAR_NODES", 10)
     monkeypatch.setattr(paths, "FEW_SOURCES", 1)
     assert sorted(map(tuple, queries.QUERIES["g3_paths"](spark, d).collect())) == want
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pairs_that_nothing_else_joins_need_no_search(monkeypatch, seed):
+    g = random_graph(seed, seed % 3 > 0)
+    s, t = g.src.astype(np.int64), g.dst.astype(np.int64)
+    s, t = np.concatenate([s, t]), np.concatenate([t, s])
+    joined, both = set(zip(s.tolist(), t.tolist())), set()
+    for a, b in joined:  # by removal, one pair at a time
+        left, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            for y in {q for p, q in joined if p == x and {p, q} != {a, b}} - left:
+                left.add(y)
+                todo.append(y)
+        if b not in left:
+            both.add(min(a, b) * g.n + max(a, b))
+    assert batches.cut_pairs(g).tolist() == sorted(both)
+    want = [kernels.dijkstra(g.adjacent, a, {(a, b)}, b)[0][b] for a, b in zip(s.tolist(), t.tolist(), strict=True)]
+    searched, own = [], batches.spread
+    monkeypatch.setattr(batches, "spread", lambda n, rows, starts, *rest: searched.append(len(starts)) or own(n, rows, starts, *rest))
+    np.testing.assert_allclose(batches.without_edges(g, s, t), want)
+    assert sum(searched) == sum(min(a, b) * g.n + max(a, b) not in both for a, b in zip(s.tolist(), t.tolist(), strict=True))
