@@ -113,3 +113,15 @@ def test_pairs_that_nothing_else_joins_need_no_search(monkeypatch, seed):
     monkeypatch.setattr(batches, "spread", lambda n, rows, starts, *rest: searched.append(len(starts)) or own(n, rows, starts, *rest))
     np.testing.assert_allclose(batches.without_edges(g, s, t), want)
     assert sum(searched) == sum(min(a, b) * g.n + max(a, b) not in both for a, b in zip(s.tolist(), t.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_bridges_level_by_level(seed):
+    g = random_graph(seed, seed % 3 > 0)
+    assert list(zip(*(x.tolist() for x in batches.bridges(g)), strict=True)) == kernels.bridges(g)
+
+
+def test_bridges_of_no_edges_and_of_copies():
+    none = np.empty(0, np.int64)
+    for g in (LocalGraph(none, none, none, none.astype(float)), LocalGraph(np.arange(4), np.array([0, 1, 0, 2, 3, 3]), np.array([1, 0, 1, 3, 2, 3]), np.ones(6))):
+        assert list(zip(*(x.tolist() for x in batches.bridges(g)), strict=True)) == kernels.bridges(g)
