@@ -125,3 +125,46 @@ def test_bridges_of_no_edges_and_of_copies():
     none = np.empty(0, np.int64)
     for g in (LocalGraph(none, none, none, none.astype(float)), LocalGraph(np.arange(4), np.array([0, 1, 0, 2, 3, 3]), np.array([1, 0, 1, 3, 2, 3]), np.ones(6))):
         assert list(zip(*(x.tolist() for x in batches.bridges(g)), strict=True)) == kernels.bridges(g)
+
+
+def routes_one_by_one(g: LocalGraph, s: int, t: int, stretch: float, sharing: float, k: int) -> list:
+    """The definition on two single searches."""
+    (d, p), (e, q) = kernels.dijkstra(g.adjacent, s), kernels.dijkstra(g.reverse, t)
+    main = kernels.path_to(p, s, t)
+    own, seen, out = set(zip(main, main[1:])), {tuple(main)}, []
+    for c, v in sorted((d[v] + e[v], v) for v in range(g.n) if v not in main and d[v] + e[v] <= stretch * d[t] < np.inf):
+        way = kernels.path_to(p, s, v) + kernels.path_to(q, t, v)[::-1][1:]
+        if tuple(way) in seen or len(set(way)) < len(way):
+            continue
+        seen.add(tuple(way))
+        shared = sum(x in own for x in zip(way, way[1:])) / (len(way) - 1)
+        if shared < sharing and len(out) < k:
+            out.append((v, c, way, shared, c / d[t]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(16))
+def test_alternative_routes_side_by_side(seed):
+    g, rng = random_graph(seed, seed % 3 > 0), np.random.default_rng(seed)
+    s, t = rng.integers(0, g.n, 60), rng.integers(0, g.n, 60)
+    s, t = s[s != t], t[s != t]
+    for stretch, sharing, k in ((1.25, 0.8, 3), (3.0, 0.9, 5), (1.6, 0.3, 1)):
+        got = {j: [(v, c, way.tolist(), x, y) for v, c, way, x, y in routes] for j, routes in batches.alternatives(g, s, t, stretch, sharing, k)}
+        for j, (a, b) in enumerate(zip(s.tolist(), t.tolist(), strict=True)):
+            assert got.get(j, []) == routes_one_by_one(g, a, b, stretch, sharing, k)
+
+
+def test_alternative_routes_of_many_pairs_take_no_search_each(spark, monkeypatch):
+    """Every route of sf0.001's pairs as single searches give it, without one of them in ``alternative_routes``."""
+    from spanweave.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    graph, od = queries.grid(spark, d), queries.pairs(spark, d)
+    g, few = graph.local(), od.where("od_id % 25 = 0").toPandas()
+    want = []
+    for r in few.itertuples():
+        found = routes_one_by_one(g, g.at(r.src), g.at(r.dst), 1.25, 0.8, 3) if g.at(r.src) >= 0 and g.at(r.dst) >= 0 else []
+        want += [(r.od_id, k, int(g.ids[v]), c, g.ids[way].tolist(), x, y) for k, (v, c, way, x, y) in enumerate(found, 1)]
+    monkeypatch.setattr(paths, "dijkstra", None)
+    got = paths.alternative_routes(graph, od).where("od_id % 25 = 0").orderBy("od_id", "rank").collect()
+    assert [tuple(r) for r in got] == want and want
