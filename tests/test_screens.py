@@ -100,3 +100,32 @@ def test_spectral(spark):
     assert abs(got.algebraic_connectivity / low[1] - 1) < 0.01
     assert abs(got.kirchhoff / (len(ids) * (1 / low[1:]).sum()) - 1) < 0.1
     assert abs(got.natural_connectivity / math.log(np.exp(np.linalg.eigvalsh(a)).mean()) - 1) < 0.1
+
+
+def test_only_the_worst_edges_leave_the_tasks(spark):
+    """Sinks and bottlenecks of worst edges are those of all edges; ties, bridges, pairs without a way and of equal ends included."""
+    from spanweave.sources import sinks
+
+    base = grid_graph(spark, 7, 9)
+    tail = spark.createDataFrame([(62, 100, 2.0), (100, 62, 2.0), (100, 101, 3.0), (101, 100, 3.0), (200, 201, 1.0)], "src long, dst long, weight double")
+    g = RoadGraph.from_edges(base.edges.select("src", "dst", "weight").union(tail))
+    od = spark.createDataFrame([(i, i, (i * 17 + 5) % 63) for i in range(60)] + [(90, 5, 101), (91, 5, 5), (92, 3, 200), (93, 3, 777), (94, 101, 0)], "od_id long, src long, dst long")
+    for method in ("interval", "exact", "approx"):
+        every, worst = fragility.route_fragility(g, od, method), fragility.route_fragility(g, od, method, worst=True)
+        assert worst.count() == every.select("od_id").distinct().count() < every.count()
+        for of in (fragility.bottleneck, lambda f: sinks.fragility_rows(f, od), lambda f: sinks.fragility_json(f, od)):
+            assert of(worst).schema == of(every).schema
+            assert sorted(map(tuple, of(worst).collect()), key=str) == sorted(map(tuple, of(every).collect()), key=str)
+    assert fragility.route_fragility(g, od.limit(0), worst=True).count() == 0
+
+
+def test_sinks_take_one_row_a_pair(spark, monkeypatch):
+    from spanweave.plans import queries
+    from spanweave.sources import sinks
+
+    seen = []
+    for name in ("fragility_rows", "fragility_json"):
+        monkeypatch.setattr(sinks, name, lambda f, od, own=getattr(sinks, name): seen.append(f) or own(f, od))
+    for q in ("k1_fragility_rows", "k4_fragility_json"):
+        queries.QUERIES[q](spark, "/root/testdata/sf0.001")
+    assert all(f.count() == f.select("od_id").distinct().count() for f in seen) and len(seen) == 2
