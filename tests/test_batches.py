@@ -168,3 +168,18 @@ def test_alternative_routes_of_many_pairs_take_no_search_each(spark, monkeypatch
     monkeypatch.setattr(paths, "dijkstra", None)
     got = paths.alternative_routes(graph, od).where("od_id % 25 = 0").orderBy("od_id", "rank").collect()
     assert [tuple(r) for r in got] == want and want
+
+
+def test_dependencies_of_many_sources_are_summed_together(monkeypatch):
+    """A batch holds more searches than one whose edges are looked at, and levels may be more than a short number counts."""
+    n = 1500
+    at = np.arange(n)
+    src, dst = np.concatenate([at[:-1], at[1:]]), np.concatenate([at[1:], at[:-1]])
+    weight = np.tile(np.where(at[:-1] == 20, 100_000.0, 1.0), 2)
+    g, searched, own = LocalGraph(at, src, dst, weight), [], batches.spread
+    monkeypatch.setattr(batches, "spread", lambda n, rows, starts, *rest: searched.append(len(starts)) or own(n, rows, starts, *rest))
+    edge, node = batches.brandes(g, at)
+    assert searched == [n]
+    np.testing.assert_allclose(node, 2 * at * (n - 1 - at))
+    cut = np.maximum(g.src, g.dst)  # nodes before the edge
+    np.testing.assert_allclose(edge, cut * (n - cut))
