@@ -183,3 +183,22 @@ def test_dependencies_of_many_sources_are_summed_together(monkeypatch):
     np.testing.assert_allclose(node, 2 * at * (n - 1 - at))
     cut = np.maximum(g.src, g.dst)  # nodes before the edge
     np.testing.assert_allclose(edge, cut * (n - cut))
+
+
+def test_paths_of_many_pairs_take_no_search_each(spark, monkeypatch):
+    """The paths of single searches, ties included; unknown and equal ends, null ids and pairs without a way too."""
+    rng = np.random.default_rng(3)
+    e = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(1, 4, 150), strict=True)]
+    graph = RoadGraph.from_edges(spark.createDataFrame(e, "src long, dst long, weight double"))
+    pairs = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 60, (300, 2)))] + [(900, 5, 5), (901, 5, 777), (902, 777, 5), (903, None, 5), (904, 5, None)]
+    od = spark.createDataFrame(pairs, "od_id long, src long, dst long")
+    g, want = graph.local(), {}
+    for i, a, b in pairs:
+        s, t = (g.at(x) if x is not None else -1 for x in (a, b))
+        d, p = kernels.dijkstra(g.adjacent, s) if s >= 0 else ([], [])
+        way = kernels.path_to(p, s, t) if s >= 0 and t >= 0 else []
+        want[i] = (d[t] if way else None, [int(g.ids[v]) for v in way])
+    assert any(w[0] is None for w in want.values()) and want[900] == (0.0, [5])
+    monkeypatch.setattr(paths, "dijkstra", None)
+    assert {r.od_id: (r.dist, r.path) for r in paths.paths(graph, od).collect()} == want
+    assert paths.paths(graph, od.limit(0)).count() == 0

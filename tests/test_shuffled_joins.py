@@ -1,5 +1,7 @@
 """Tables of nodes and edges meet by shuffles: their files are a few MB, but a broadcast of them is collected by the driver."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,3 +34,13 @@ def test_pieces(grid, monkeypatch):
     monkeypatch.setattr(topology, "ONE_TASK", 0)
     out = topology.bridges(grid[0])
     assert "Broadcast" not in plan(out) and out.count() == 0
+
+
+def test_searched_edges_meet_screened_ones(spark, grid):
+    """They have a row an edge of each pair, however few the pairs are."""
+    from spanweave.operators import fragility, paths
+
+    g = grid[0]
+    od = spark.createDataFrame([(i, i, 107 - i) for i in range(20)], "od_id long, src long, dst long")
+    out = fragility.filtered_route_fragility(g, od, topology.node_levels(g), paths.landmarks(g, 2))
+    assert re.search(r"SortMergeJoin \[od_id#\d+L?, pos#\d+\], .*LeftOuter", plan(out)) and out.count() > 100
