@@ -41,6 +41,6 @@ def test_searched_edges_meet_screened_ones(spark, grid):
     from spanweave.operators import fragility, paths
 
     g = grid[0]
-    od = spark.createDataFrame([(i, i, 107 - i) for i in range(20)], "od_id long, src long, dst long")
+    od = spark.range(20).select(F.col("id").alias("od_id"), F.col("id").alias("src"), (107 - F.col("id")).alias("dst"))
     out = fragility.filtered_route_fragility(g, od, topology.node_levels(g), paths.landmarks(g, 2))
     assert re.search(r"SortMergeJoin \[od_id#\d+L?, pos#\d+\], .*LeftOuter", plan(out)) and out.count() > 100
