@@ -26,3 +26,28 @@ def test_a_search_goes_as_far_as_its_goals_and_on():
         np.testing.assert_allclose(search.upto(most)[near], want[near])
         assert (search.dist[~near] > most).all()
         np.testing.assert_allclose(search.upto(), want)
+
+
+def test_many_pairs_are_searched_together_and_looked_at_in_lots(monkeypatch):
+    """Detours of a batch of pairs, its edges looked at a few pairs at a time, are those of a search without each edge."""
+    rows, cols = 9, 5
+    ids = np.arange(rows * cols).reshape(rows, cols)
+    a, b = np.r_[ids[:, :-1].ravel(), ids[:-1].ravel()], np.r_[ids[:, 1:].ravel(), ids[1:].ravel()]
+    w = np.random.default_rng(3).integers(1, 9, len(a)).astype(float)
+    g = LocalGraph(ids.ravel(), np.r_[a, b], np.r_[b, a], np.r_[w, w])
+    lots, own = [], batches._around
+    monkeypatch.setattr(batches, "_around", lambda *x: lots.append(len(x[3])) or own(*x))
+    monkeypatch.setattr(batches, "CELLS", 5 * g.n)
+    rng = np.random.default_rng(5)
+    s, t = rng.integers(0, g.n, 40), rng.integers(0, g.n, 40)
+    found = batches.replacements(g, s, t)
+    assert len(lots) > 2 and max(lots) <= 5 * g.n
+    for u, v, (way, far, cost) in zip(s.tolist(), t.tolist(), found, strict=True):
+        if u == v:
+            assert not len(way)
+            continue
+        assert far[-1] == dijkstra(g.adjacent, u)[0][v]
+        assert cost.tolist() == [dijkstra(g.adjacent, u, {e}, v)[0][v] for e in zip(way.tolist(), way.tolist()[1:])]
+    assert batches.round_width(g) > batches.least_weight(g)
+    monkeypatch.setattr(batches, "CELLS", 1_200_000)
+    assert batches.pair_batch(g) > batches.batch_size(g)
