@@ -51,3 +51,20 @@ def test_many_pairs_are_searched_together_and_looked_at_in_lots(monkeypatch):
     assert batches.round_width(g) > batches.least_weight(g)
     monkeypatch.setattr(batches, "CELLS", 1_200_000)
     assert batches.pair_batch(g) > batches.batch_size(g)
+
+
+def test_alternative_routes_in_lots_of_pairs(monkeypatch):
+    """Routes don't depend on how many pairs are looked at together."""
+    ids = np.arange(63).reshape(9, 7)
+    a, b = np.r_[ids[:, :-1].ravel(), ids[:-1].ravel()], np.r_[ids[:, 1:].ravel(), ids[1:].ravel()]
+    w = np.random.default_rng(4).integers(1, 9, len(a)).astype(float)
+    g = LocalGraph(ids.ravel(), np.r_[a, b], np.r_[b, a], np.r_[w, w])
+    rng = np.random.default_rng(6)
+    s, t = rng.integers(0, g.n, 30), rng.integers(0, g.n, 30)
+    routes = lambda: {j: [(v, c, way.tolist(), x) for v, c, way, x, _ in r] for j, r in batches.alternatives(g, s, t, 1.4, 0.8, 3)}
+    lots, own = [], batches._via_lot
+    monkeypatch.setattr(batches, "_via_lot", lambda *x: lots.append(len(x[3])) or own(*x))
+    whole, at_once = routes(), len(lots)
+    monkeypatch.setattr(batches, "CELLS", 5 * g.n)
+    assert len(whole) > 10 and routes() == whole
+    assert len(lots) > 2 * at_once and max(lots[at_once:]) <= 5 * g.n
